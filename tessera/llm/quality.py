@@ -137,8 +137,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, with their failing lines gone; `n_chars` follows the text."""
-    out = clean_lines(docs).where("kept")
-    return out.select(
-        *[F.col("cleaned").alias("text") if c == "text" else F.length("cleaned").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    )
+    """Documents that pass, with their failing lines gone; `n_chars` follows the text.
+
+    Rows leave by a generator: a filter would be pushed below the projections, and its copy of their expressions
+    would be computed anew for every element of the arrays.
+    """
+    value = {"text": "cleaned", "n_chars": "cast(length(cleaned) as bigint)"}
+    row = ", ".join(f"{value.get(c, f'`{c}`')} as `{c}`" for c in docs.columns)
+    return clean_lines(docs).select(F.expr(f"inline(CASE WHEN kept THEN array(struct({row})) ELSE array() END)"))
