@@ -5,8 +5,9 @@ shingle frequencies (a fixed number of counters, summed over all rows) orders sh
 right, a rare-first one keeps posting lists short. Each class posts its prefix, once per task. A posting list is
 read in order of size: a member may pair with a shorter one that posts the shingle in its index prefix (length
 filter), if enough could still follow both positions (positional filter). Lists with up to `DIRECT` partners a
-member emit all those pairs. Longer lists first emit a linear number, each member with its first and last partner;
-after verification, only their pairs between different components are emitted and verified. Components thus lose no
+member emit all those pairs. Longer lists first emit a linear number, each member with the `HEADS` members of least hash;
+after verification, only their pairs between different components are emitted and verified, in rounds: with four times
+as many members on one side each time, while such pairs are many, and at last all of them. Components thus lose no
 link, while a large group of near copies costs a number of pairs in proportion to its size.
 
 Before sets are fetched, pairs pass the suffix filter: the sets' counts over a fixed partition of the shingles
@@ -35,6 +36,10 @@ WORDS, PERCENT = 4, 85
 COUNTERS, BLOCKS = 1 << 20, 64
 #: Partners a member has in a list before the list is treated as a large one.
 DIRECT = 12
+#: Members of a large list that all others are compared with first.
+HEADS = 32
+#: Pairs that are verified without a further round of that kind.
+FEW = 150_000
 #: Parts of the suffix filter.
 PARTS = 64
 ROWS = 512
@@ -45,19 +50,22 @@ def signature(s: np.ndarray) -> int:
 
 
 def sizes(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, n_shingles, sig) per row."""
+    """(key, n_shingles, sig, data) per row; data: the set's counts over `PARTS` parts, for the suffix filter."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> list:
         n: list[int] = []
         sig: list[int] = []
+        data: list[bytes] = []
         for i in range(0, batch.num_rows, ROWS):
             for s in shingle_sets(batch.column(1).slice(i, ROWS), words):
                 n.append(len(s))
                 sig.append(signature(s))
-        return [batch.column(0), n, sig]
+                counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS)
+                data.append(counts.astype(np.uint16 if len(s) < 60000 else np.uint32).tobytes())
+        return [batch.column(0), n, sig, data]
 
-    return map_arrow(docs.select(F.col(key), F.col(text)), run, f"{key} {kind}, n_shingles long, sig long")
+    return map_arrow(docs.select(F.col(key), F.col(text)), run, f"{key} {kind}, n_shingles long, sig long, data binary")
 
 
 def frequencies(docs: DataFrame, text: str, words: int) -> np.ndarray:
@@ -192,9 +200,18 @@ def first_pairs(posted: DataFrame, percent: int) -> DataFrame:
             large[run_of[count > DIRECT]] = True
             direct = np.where(large[run_of], 0, count)
             j, k = _ranges(lo, direct)
+            # In a large list all turn to a few members of least hash, mostly the same ones in all lists of a group of
+            # copies; those that one is too short or too long for take their first partner.
             far = np.flatnonzero(large[run_of] & (count > 0))
-            j = np.concatenate([j, far, far])
-            i = small[np.concatenate([k, lo[far], hi[far] - 1])] if len(j) else j
+            left, right = [small[k]], [j]
+            for seed in range(HEADS if len(far) else 0):
+                head = small[np.lexsort((mix(sig.astype(np.uint64) + np.uint64(seed))[small], run_of[small]))]
+                head = head[np.searchsorted(run_of[head], run_of[far])]
+                p, q = np.minimum(head, far), np.maximum(head, far)
+                fits = (p != q) & (pos[p] < rule.index_prefix(size[p])) & (size[p] >= rule.shortest(size[q]))
+                left.append(np.where(fits, p, small[np.minimum(lo[far], len(small) - 1)]))
+                right.append(np.where(fits, q, far))
+            i, j = np.concatenate(left), np.concatenate(right)
             ok = rule.may(size[i], pos[i], size[j], pos[j])
             i, j = i[ok], j[ok]
             a, b = np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])
@@ -209,8 +226,9 @@ def first_pairs(posted: DataFrame, percent: int) -> DataFrame:
     return posted.mapInArrow(run, PAIR)
 
 
-def cross_pairs(posted: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large lists between different components; `posted`: token, size, sig, pos, component."""
+def cross_pairs(posted: DataFrame, percent: int, heads: int | None) -> DataFrame:
+    """Pairs of large lists between different components, with `heads` members of a list at most on one side; without
+    `heads`, one row per block, whose `a` is the number of all such pairs. `posted`: token, size, sig, pos, component."""
     schema = "a long, b long"
     out = to_arrow(posted.sparkSession, schema)
     rule = _Filters(percent)
@@ -223,22 +241,28 @@ def cross_pairs(posted: DataFrame, percent: int) -> DataFrame:
             for s, e in zip(edge[:-1], edge[1:], strict=True):
                 if (comp[s:e] == comp[s]).all():
                     continue
-                small = s + np.flatnonzero(pos[s:e] < rule.index_prefix(size[s:e]))
-                for block in range(s, e, 1024):
-                    j = np.arange(block, min(block + 1024, e))
-                    lo, hi = np.searchsorted(size[small], rule.shortest(size[j])), np.searchsorted(small, j)
-                    owner, k = _ranges(lo, np.maximum(hi - lo, 0))
-                    i, j = small[k], j[owner]
-                    ok = (comp[i] != comp[j]) & rule.may(size[i], pos[i], size[j], pos[j])
-                    if ok.any():
+                all_of = np.arange(s, e)
+                few = all_of
+                if heads is not None and heads < e - s:
+                    few = s + np.argpartition(mix(sig[s:e].astype(np.uint64) + np.uint64(heads)), heads)[:heads]
+                step = max(1, (1 << 20) // len(all_of))
+                for block in range(0, len(few), step):
+                    p, q = (x.ravel() for x in np.meshgrid(few[block : block + step], all_of, indexing="ij"))
+                    i, j = np.minimum(p, q), np.maximum(p, q)
+                    ok = (comp[i] != comp[j]) & (pos[i] < rule.index_prefix(size[i])) & (size[i] >= rule.shortest(size[j]))
+                    ok &= rule.may(size[i], pos[i], size[j], pos[j])
+                    if heads is None:
+                        yield pa.RecordBatch.from_arrays([pa.array([int(ok.sum()) // 2]), pa.array([0])], schema=out)
+                    elif ok.any():
                         a, b = np.minimum(sig[i[ok]], sig[j[ok]]), np.maximum(sig[i[ok]], sig[j[ok]])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=out)
+                        _, once = np.unique(mix(a.astype(np.uint64)) ^ mix(b.astype(np.uint64) + np.uint64(1)), return_index=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], schema=out)
 
     return posted.mapInArrow(run, schema)
 
 
-def sets_of(docs: DataFrame, text: str, words: int, needed: object, sketches: bool) -> DataFrame:
-    """(sig, data) of needed classes, once per task: the set, or its counts over `PARTS` parts."""
+def sets_of(docs: DataFrame, text: str, words: int, needed: object) -> DataFrame:
+    """(sig, data) of needed classes, once per task; data: the set."""
     schema = "sig long, data binary"
     out = to_arrow(docs.sparkSession, schema)
 
@@ -253,8 +277,7 @@ def sets_of(docs: DataFrame, text: str, words: int, needed: object, sketches: bo
                 for k in np.flatnonzero(bloom.has(sigs)):
                     if (sig := int(sigs[k])) not in seen:
                         seen.add(sig)
-                        s = sets[k]
-                        rows.append((sig, np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.uint16 if len(s) < 60000 else np.uint32).tobytes() if sketches else s.tobytes()))
+                        rows.append((sig, sets[k].tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
@@ -284,15 +307,18 @@ def _decoded(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint16 if len(data) == 2 * PARTS else np.uint32).astype(np.int64)
 
 
+def distinct_sides(sides: DataFrame) -> DataFrame:
+    return sides.groupBy("sig").agg(F.max("data").alias("data"))
+
+
 def with_sides(pairs: DataFrame, sides: DataFrame) -> DataFrame:
-    one = sides.groupBy("sig").agg(F.max("data").alias("data"))
+    one = sides
     left = pairs.join(one.select(F.col("sig").alias("a"), F.col("data").alias("data_a")), "a")
     return left.join(one.select(F.col("sig").alias("b"), F.col("data").alias("data_b")), "b")
 
 
-def verified(docs: DataFrame, text: str, words: int, percent: int, pairs: Written) -> DataFrame:
-    """Pairs (a, b) that link. `pairs` (a, b) must be distinct."""
-    spark = docs.sparkSession
+def near_enough(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that pass the suffix filter."""
 
     def near(batch: pa.RecordBatch) -> list:
         a, b, x, y = (batch.column(batch.schema.names.index(c)) for c in ("a", "b", "data_a", "data_b"))
@@ -304,6 +330,12 @@ def verified(docs: DataFrame, text: str, words: int, percent: int, pairs: Writte
         mask = pa.array(keep, pa.bool_())
         return [a.filter(mask), b.filter(mask)]
 
+    return map_arrow(with_sides(pairs, parts), near, "a long, b long")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) whose sets are as similar as asked."""
+
     def same(batch: pa.RecordBatch) -> list:
         a, b, x, y = (batch.column(batch.schema.names.index(c)) for c in ("a", "b", "data_a", "data_b"))
         keep = []
@@ -316,10 +348,7 @@ def verified(docs: DataFrame, text: str, words: int, percent: int, pairs: Writte
         mask = pa.array(keep, pa.bool_())
         return [a.filter(mask), b.filter(mask)]
 
-    bloom = spark.sparkContext.broadcast(needed_filter(pairs.df))
-    passed = Written(map_arrow(with_sides(pairs.df, sets_of(docs, text, words, bloom, True)), near, "a long, b long"), "passed")
-    bloom = spark.sparkContext.broadcast(needed_filter(passed.df))
-    return map_arrow(with_sides(passed.df, sets_of(docs, text, words, bloom, False)), same, "a long, b long")
+    return map_arrow(with_sides(pairs, sets), same, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -331,16 +360,33 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     posted = postings(docs, text, words, percent, sketch).repartition(n, "token").sortWithinPartitions("token", "size", "sig")
     first = Written(first_pairs(posted, percent), "pairs")
     pairs = Written(first.df.where("kind = 0").select("a", "b").distinct(), "pairs")
-    links = Written(verified(docs, text, words, percent, pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "links").df
+    counts = Written(distinct_sides(of.where("n_shingles > 0").select("sig", "data")), "counts").df
+    passed = Written(near_enough(pairs.df, counts, percent), "passed").df
+    # Members of large lists may be compared in later rounds, so their sets are made now as well.
+    listed = first.df.where("kind = 1").select(F.col("b").alias("a"), "b")
+    bloom = spark.sparkContext.broadcast(needed_filter(passed.union(listed)))
+    sets = Written(distinct_sides(sets_of(docs, text, words, bloom)), "sets").df
+    links = Written(linked(passed, sets, percent), "links").df
     parts = Written(connected_components(links), "parts").df
-    # Large lists once more, by what is connected now.
+    # Large lists again, by what is connected now, with ever more members that others are compared with, until the pairs
+    # between components are few, or all members are; these are all verified.
     rest = first.df.where("kind = 1").select(F.col("a").alias("token"), F.col("size_a").alias("size"), F.col("b").alias("sig"), "pos")
-    rest = rest.join(parts.withColumnRenamed("node", "sig"), "sig", "left").select("token", "size", "sig", "pos", F.coalesce("component", "sig").alias("component"))
-    rest = rest.repartition(n, "token").sortWithinPartitions("token", "size", "sig")
-    more = Written(cross_pairs(rest, percent).distinct().join(pairs.df, ["a", "b"], "left_anti"), "pairs")
-    if not more.df.isEmpty():
-        added = verified(docs, text, words, percent, more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        parts = Written(connected_components(links.union(added)), "parts").df
+    heads, longest, known = HEADS, rest.groupBy("token").count().agg(F.max("count")).first()[0] or 0, pairs.df
+    rows = rest.count()
+    while longest:
+        now = rest.join(parts.withColumnRenamed("node", "sig"), "sig", "left").select("token", "size", "sig", "pos", F.coalesce("component", "sig").alias("component"))
+        now = now.repartition(n, "token").sortWithinPartitions("token", "size", "sig")
+        heads = 4 * heads
+        left = cross_pairs(now, percent, None).agg(F.sum("a")).first()[0] or 0
+        last = left <= max(FEW, 2 * rows) or heads >= longest
+        if not left:
+            break
+        more = Written(cross_pairs(now, percent, longest if last else heads).distinct().join(known, ["a", "b"], "left_anti"), "pairs").df
+        links = Written(links.union(linked(near_enough(more, counts, percent), sets, percent)), "links").df
+        parts = Written(connected_components(links), "parts").df
+        known = known.union(more)
+        if last:
+            break
     # Smallest id of each component; a class that links with no other is a component of its own.
     low = of.where("n_shingles > 0").groupBy("sig").agg(F.min(key).alias("low")).join(parts.withColumnRenamed("node", "sig"), "sig", "left")
     low = low.withColumn("component", F.coalesce("component", "sig"))
