@@ -28,14 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, table
-from .hashing import Prefix
+from .hashing import Prefix, mix
 
 DEFAULT = "piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = 512
+#: Bits of the number of slots that remember which pieces may be neighbours.
+SLOTS = 20
 CHUNK = 1 << 16
 #: Parts a task remembers; beyond it, it starts anew, so memory is bounded.
-MEMORY = 600_000
+MEMORY = 200_000
 CUT = regex.compile(rf"(?<=[^{MARK}\n]) (?=[^ {MARK}\n])|\n")
 
 
@@ -63,11 +65,18 @@ class Pieces:
         key = Prefix(joined).part(start, start + size)
         order = np.argsort(key)
         self.key, self.number = key[order], np.array([self.id[p] for p in whole], dtype=np.int64)[order]
+        # Where in the sorted keys each value of the top bits begins: a lookup is a few steps from there.
+        top = (self.key >> np.uint64(46)).astype(np.int64)
+        self.begin = np.searchsorted(top, np.arange(1 << 18))
+        self.steps = int(np.bincount(top).max())
+        self.key = np.append(self.key, np.full(self.steps, np.uint64(2**64 - 1)))
+        self.number = np.append(self.number, np.full(self.steps, -1))
         # Marks that follow a letter in no piece: a cut before them is safe as well.
         after = {c for x in self.id for a, c in zip(x, x[1:], strict=False) if regex.match(r"\p{L}", a)}
         marks = regex.escape("".join(c for c in ".,;:!?\"')(" if c not in after) or "\n", special_only=False)
         self.parts = regex.compile(rf"\n+|{MARK}*\p{{L}}+(?=[{marks}])|{MARK}*[^{MARK}\n]+|{MARK}+")
-        self.next: dict[int, bool] = {}
+        self.table = np.full(1 << SLOTS, -2, dtype=np.int64)
+        self.answer: dict[int, int] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def plain(self, s: str) -> list[str]:
@@ -88,16 +97,20 @@ class Pieces:
         return self.text[number] if number < self.none else chr(number - self.none)
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        pair = a << 32 | b
-        distinct, back = np.unique(pair, return_inverse=True)
-        out = np.empty(len(distinct), dtype=bool)
-        for k, p in enumerate(distinct.tolist()):
-            ok = self.next.get(p)
-            if ok is None:
-                x, y = self.string(p >> 32), self.string(p & 0xFFFFFFFF)
-                ok = self.next[p] = self.plain(x + y) == [x, y]
-            out[k] = ok
-        return out[back]
+        """By a direct-mapped table: a slot holds the pair last looked up there, with its answer as the lowest bit."""
+        pair = (a << 32 | b) << 1
+        slot = (mix(pair.astype(np.uint64)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        held = self.table[slot]
+        miss = np.flatnonzero(held >> 1 << 1 != pair)
+        if len(miss):
+            for p in np.unique(pair[miss]).tolist():
+                x, y = self.string(p >> 33), self.string(p >> 1 & 0xFFFFFFFF)
+                self.answer[p] = p | (self.plain(x + y) == [x, y])
+            got = np.fromiter(map(self.answer.__getitem__, pair[miss].tolist()), dtype=np.int64, count=len(miss))
+            self.answer.clear()
+            self.table[slot[miss]] = got
+            held[miss] = got
+        return (held & 1).astype(bool)
 
     def lattice(self, rows: list[str], forced: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For rows laid end to end: row starts, and per place (one more than characters a row) the piece that ends there
@@ -111,8 +124,10 @@ class Pieces:
         for n in range(1, self.longest + 1):
             at = np.flatnonzero(np.arange(len(points)) + n <= row_end)
             want = prefix.part(at, at + n)
-            k = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-            ids[n, at] = np.where(self.key[k] == want, self.number[k], -1)
+            k = self.begin[(want >> np.uint64(46)).astype(np.int64)]
+            for step in range(self.steps):
+                hit = np.flatnonzero(self.key[k + step] == want)
+                ids[n, at[hit]] = self.number[k[hit] + step]
         ids[1] = np.where(ids[1] < 0, self.none + points.astype(np.int64), ids[1])
         place = start + np.arange(len(rows))
         last, length = np.full(len(points) + len(rows), -1, dtype=np.int64), np.zeros(len(points) + len(rows), dtype=np.int64)
@@ -121,8 +136,10 @@ class Pieces:
         sorted_size = -size[order]
         for j in range(1, int(size.max(initial=0)) + 1):
             live = order[: np.searchsorted(sorted_size, -j, side="right")]
-            for n in range(1, min(j, self.longest) + 1):
-                rows_n = live if n == 1 else live[last[place[live] + j] < 0]
+            for n in range(min(j, self.longest), 0, -1):
+                rows_n = live[(last[place[live] + j] < 0) & (ids[n, start[live] + j - n] >= 0)]
+                if not len(rows_n):
+                    continue
                 number = ids[n, start[rows_n] + j - n]
                 first = (j == n) & ((force[rows_n] == 0) | (force[rows_n] == n))
                 before = last[place[rows_n] + j - n] if n < j else np.full(len(rows_n), -1)
@@ -216,6 +233,8 @@ class Pieces:
 
     def decode(self, numbers: list[int], first: bool = True) -> str:
         out, pending = [], bytearray()
+        if numbers and min(numbers) > max(self.value):  # no byte among them
+            out, numbers = [self.text[x] for x in numbers], []
         for x in numbers:
             if x in self.value:
                 pending.append(self.value[x])
@@ -273,13 +292,10 @@ def cuts(text: str, chunk: int = CHUNK) -> list[str]:
     return [*out, text[at:]]
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(key, row, chunk, n_chunks, source, ids): one row per chunk; `row` tells repeated rows of a key apart."""
+def chunks(docs: DataFrame, key: str, text: str, chunk: int) -> DataFrame:
+    """(key, row, chunk, n_chunks, source): one row per chunk, dealt anew; `row` tells repeated rows of a key apart."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def load() -> Pieces:
-        return pieces(model or public_tokenizers.path(DEFAULT))
-
     def cut(batch: pa.RecordBatch) -> list:
         at: list[int] = []
         cols: list[list] = [[], [], []]
@@ -292,6 +308,18 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
         rows = pa.array(at, pa.int64())
         return [batch.column(0).take(rows), batch.column(1).take(rows), *cols]
 
+    fields = f"{key} {kind}, row long, chunk int, n_chunks int, source string"
+    source = F.coalesce(F.col(text), F.lit(""))
+    numbered = docs.select(F.col(key), F.monotonically_increasing_id().alias("row"), source.alias("source"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = numbered.where(F.length("source") <= chunk).select(key, "row", F.lit(0).alias("chunk"), F.lit(1).alias("n_chunks"), "source")
+    return whole.unionByName(map_arrow(numbered.where(F.length("source") > chunk), cut, fields).repartition(n, "row", "chunk"))
+
+
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(key, row, chunk, n_chunks, source, ids): one row per chunk."""
+    kind = docs.schema[key].dataType.simpleString()
+
     def run(batch: pa.RecordBatch, p: Pieces) -> list:
         ids: list[list[int]] = []
         for i in range(0, batch.num_rows, 256):
@@ -299,13 +327,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
             ids += p.encode([normal(t, c == 0) for t, c in zip(part.column(4).to_pylist(), part.column(2).to_pylist(), strict=True)])
         return [*batch.columns, ids]
 
-    fields = f"{key} {kind}, row long, chunk int, n_chunks int, source string"
-    numbered = docs.select(F.col(key), F.monotonically_increasing_id().alias("row"), F.col(text))
-    giant = F.length(F.coalesce(F.col(text), F.lit(""))) > chunk
-    whole = numbered.where(~giant).select(key, "row", F.lit(0).alias("chunk"), F.lit(1).alias("n_chunks"), F.coalesce(F.col(text), F.lit("")).alias("source"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = map_arrow(numbered.where(giant), cut, fields).repartition(n, "row", "chunk")
-    return map_arrow(whole, run, f"{fields}, ids array<int>", load).unionByName(map_arrow(dealt, run, f"{fields}, ids array<int>", load))
+    fields = f"{key} {kind}, row long, chunk int, n_chunks int, source string, ids array<int>"
+    return map_arrow(chunks(docs, key, text, chunk), run, fields, lambda: pieces(model or public_tokenizers.path(DEFAULT)))
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -320,22 +343,34 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     return map_arrow(encoded, run, f"{fields}, decoded string", lambda: pieces(model or public_tokenizers.path(DEFAULT)))
 
 
-def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: n_tokens, CRC-32 of its ids (little-endian unsigned 32 bits), and whether it decodes to itself."""
-    done = decode(encode(table(spark, sf_dir, "documents")))
-    schema = "doc_id long, row long, chunk int, n_chunks int, n_tokens long, ids binary, same boolean"
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(key, n_tokens, ids_crc32, round_trip) per row; the chunks of a giant text are coded apart and put together."""
+    kind = docs.schema[key].dataType.simpleString()
+    fields = f"{key} {kind}, row long, chunk int, n_chunks int"
 
-    def run(batch: pa.RecordBatch) -> list:
-        at = {n: i for i, n in enumerate(batch.schema.names)}
-        ids = [np.asarray(x, dtype="<u4").tobytes() for x in batch.column(at["ids"]).to_pylist()]
-        same = [a == b for a, b in zip(batch.column(at["source"]).to_pylist(), batch.column(at["decoded"]).to_pylist(), strict=True)]
-        return [*(batch.column(at[c]) for c in ("doc_id", "row", "chunk", "n_chunks")), [len(x) // 4 for x in ids], ids, same]
-
-    packed = map_arrow(done, run, schema)
-    one = packed.where("n_chunks = 1").select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.col("same").alias("round_trip"))
-    # A group is the chunks of one document, no larger than the document.
-    many = packed.where("n_chunks > 1").groupBy("row", "doc_id").agg(
+    def run(batch: pa.RecordBatch, p: Pieces) -> list:
+        n, packed, same = [], [], []
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            texts, places = part.column(4).to_pylist(), part.column(2).to_pylist()
+            for t, c, ids in zip(texts, places, p.encode([normal(t, c == 0) for t, c in zip(texts, places, strict=True)]), strict=True):
+                n.append(len(ids))
+                packed.append(np.array(ids, dtype="<u4").tobytes())
+                same.append(p.decode(ids, c == 0) == t)
+        return [*batch.columns[:4], n, packed, same]
+
+    done = map_arrow(chunks(docs, key, text, chunk), run, f"{fields}, n_tokens long, ids binary, same boolean", lambda: pieces(model or public_tokenizers.path(DEFAULT)))
+    # A group is the chunks of one text, no larger than the text itself; a text of one chunk is not grouped with others.
+    one = F.col("n_chunks") == 1
+    small = done.where(one).select(key, "n_tokens", F.crc32("ids").alias("ids_crc32"), F.col("same").alias("round_trip"))
+    parts = done.where(~one).groupBy("row", key).agg(
         F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"), F.every("same").alias("round_trip")
     )
     joined = F.expr("crc32(aggregate(transform(parts, p -> p.ids), X'', (a, b) -> concat(a, b)))")
-    return one.unionByName(many.select("doc_id", "n_tokens", joined.alias("ids_crc32"), "round_trip"))
+    return small.unionByName(parts.select(key, "n_tokens", joined.alias("ids_crc32"), "round_trip"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: n_tokens, CRC-32 of its ids (little-endian unsigned 32 bits), and whether it decodes to itself."""
+    docs = table(spark, sf_dir, "documents")
+    return digests(docs)
