@@ -143,5 +143,6 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     would be computed anew for every element of the arrays.
     """
     value = {"text": "cleaned", "n_chars": "cast(length(cleaned) as bigint)"}
-    row = ", ".join(f"{value.get(c, f'`{c}`')} as `{c}`" for c in docs.columns)
-    return clean_lines(docs).select(F.expr(f"inline(CASE WHEN kept THEN array(struct({row})) ELSE array() END)"))
+    row = ", ".join(f"{value.get(c, f'_row.`{c}`')} as `{c}`" for c in docs.columns)
+    apart = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))  # no name can clash
+    return clean_lines(apart).select(F.expr(f"inline(CASE WHEN kept THEN array(struct({row})) ELSE array() END)"))

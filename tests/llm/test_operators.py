@@ -1,0 +1,316 @@
+import gzip
+import hashlib
+import base64
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import public_tokenizers as P
+
+from tessera.llm import chat_format, jaccard_join, language_id, line_dedup, near_vectors, packing, piece_coding, quality, secret_scan, token_count
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, sig long, kept string, _gone string, key long"
+
+
+def word(r):
+    return "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+
+
+def sentence(r, n):
+    return " ".join(word(r) for _ in range(n)) + "."
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(7)
+    base = [" ".join(sentence(r, 12) for _ in range(6)) for _ in range(12)]
+    texts = base + base[:3] + [b.replace(b.split()[40], "changed") for b in base[:4]]
+    texts += [None, "", " \t\n ", "one two", "ab cd ef", "x" * 30000, "\n".join([sentence(r, 9)] * 4), "password: hunter2secret\n" + base[0]]
+    out = [(i, t, "en" if i % 2 else "de", "s", None if t is None else len(t), 1, "k", "g", 5) for i, t in enumerate(texts)]
+    return [*out, out[0], (None, "a row without an id but with several words in it.", None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOC).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def components(n, links):
+    at = list(range(n))
+
+    def find(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        at[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+def test_op1_against_all_pairs(spark):
+    r = np.random.default_rng(3)
+    base = r.normal(size=(8, 16))
+    vecs = [b + r.normal(size=16) * 0.03 for b in base for _ in range(12)]
+    rows = [(i, v.astype("float32").tolist(), i % 2) for i, v in enumerate(vecs)]
+    rows += [(200, rows[0][1], 0), (201, rows[0][1], None), (202, None, 0), (203, [0.0] * 16, 0), (204, [float("nan")] * 16, 0), (205, [None] + [1.0] * 15, 0), (206, [1.0], 0), (None, rows[0][1], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {x.vec_id: x for x in near_vectors.near_vectors(df).collect()}
+    live = [x for x in rows if x[0] is not None and x[2] is not None and x[1] and len(x[1]) == 16 and all(c is not None and np.isfinite(c) for c in x[1]) and any(x[1])]
+    x = np.array([v[1] for v in live], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = [(i, j) for i in range(len(live)) for j in range(i + 1, len(live)) if live[i][2] == live[j][2] and x[i] @ x[j] >= 0.98]
+    count = Counter(k for p in links for k in p)
+    comp = components(len(live), links)
+    assert len(links) > 50
+    for k, v in enumerate(live):
+        assert (got[v[0]].n_links, got[v[0]].component_id) == (count[k], live[comp[k]][0])
+        assert got[v[0]].kept == (v[0] == live[comp[k]][0])
+    for i in range(201, 207):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+    assert len(got) == len(rows)
+    # Large buckets are dealt as pairs of chunks: nothing counts twice.
+    old, near_vectors.BLOCK = near_vectors.BLOCK, 4
+    try:
+        small = near_vectors.blocks.__defaults__
+        near_vectors.blocks.__defaults__ = (4,)
+        again = {y.vec_id: y.n_links for y in near_vectors.near_vectors(df).collect()}
+    finally:
+        near_vectors.BLOCK, near_vectors.blocks.__defaults__ = old, small
+    assert again == {k: v.n_links for k, v in got.items()}
+    assert near_vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def distance(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        p, d = d, [i]
+        for j, y in enumerate(b, 1):
+            d.append(min(p[j] + 1, d[-1] + 1, p[j - 1] + (x != y)))
+    return d[-1]
+
+
+def test_banded_distance():
+    r = random.Random(5)
+    for _ in range(3000):
+        a = "".join(r.choice("abc") for _ in range(r.randint(0, 9)))
+        b = "".join(r.choice("abc") for _ in range(r.randint(0, 9)))
+        for e in (1, 2, 3):
+            assert line_dedup.within(a, b, e) == (distance(a, b) <= e)
+
+
+def test_op2_against_all_pairs(spark, none):
+    r = random.Random(9)
+    lines = [sentence(r, 7) for _ in range(60)]
+    for _ in range(60):
+        s = list(r.choice(lines))
+        for _ in range(r.randint(1, 3)):
+            k = r.randrange(len(s))
+            s[k : k + r.randint(0, 1)] = r.choice(["", "z", "y"])
+        lines.append("".join(s))
+    r.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 4]) for i in range(0, 120, 4)] + [None, "", "short\nshort"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(x.doc_id, x.line_no): (x.first_doc, x.first_line, x.kept) for x in line_dedup.line_classes(df).collect()}
+    places = [(d, n, s) for d, t in enumerate(texts) for n, s in line_dedup.lines_of(t, line_dedup.MIN_CHARS)]
+    links = [(i, j) for i in range(len(places)) for j in range(i + 1, len(places)) if distance(places[i][2], places[j][2]) <= 2]
+    comp = components(len(places), links)
+    assert got == {p[:2]: (*places[c][:2], places[c][:2] == p[:2]) for p, c in zip(places, comp, strict=True)}
+    assert len(links) > 20
+    assert line_dedup.line_classes(none).count() == 0
+
+
+def test_line_stage_keeps_first_lines_and_columns(spark, docs, none):
+    out = line_dedup.line_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert {x.doc_id for x in got} >= set(range(12)) and 12 not in {x.doc_id for x in got}
+    assert line_dedup.line_stage(spark, none, "").count() == 0
+
+
+def test_op3_layers_and_base(spark, docs, none):
+    s = base64.b64encode(b"password=hunter22abc").decode()
+    packed = base64.b64encode(gzip.compress(s.encode())).decode()
+    for enc in (s, packed, base64.b64encode(s.encode()).decode(), "pass%77ord%3Dabcdefgh1", "pass\\u0077ord=abcdefgh"):
+        base, every = secret_scan.all_spans(f"hé {enc} end")
+        assert not base and len(every) == 1 and every[0][0] >= 3 and every[0][1] <= 3 + len(enc)
+    base, every = secret_scan.all_spans("token=secret=abcdef AKIA" + "A" * 16 + " " + "ab12" * 6)
+    assert [k for _, _, k in base] == [0, 1, 2] and every == base
+    got = {x.doc_id: x for x in secret_scan.scan(docs).collect()}
+    assert got[19].spans == "" and got[19].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[26].n_assign == 1
+    assert secret_scan.scan(none).count() == 0
+    stage = {x.doc_id: x for x in secret_scan.secret_stage(None, docs, "").collect()}
+    assert "hunter2" not in stage[26].text and stage[26].n_chars == len(stage[26].text) and stage[19].text is None
+
+
+def test_op4_equals_the_library(spark, docs, rows, none):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path(piece_coding.DEFAULT))
+    p = piece_coding.Pieces(P.path(piece_coding.DEFAULT))
+    r = random.Random(11)
+    texts = ["".join(r.choice("abcdeéΣς'sSt 1²!?.\n\t<|>日本😀   ▁") for _ in range(r.randint(0, 60))) for _ in range(400)]
+    texts += ["".join(r.choice("ethaioning") for _ in range(2500)), " " * 50, "a" * 1500, "x" + " " * 900 + "y"]
+    ids = p.encode([piece_coding.normal(t) for t in texts])
+    assert ids == sp.encode(texts)
+    assert [p.decode(x) for x in ids] == sp.decode(ids)
+    big = " ".join(t or "" for _, t, *_ in rows)
+    parts = piece_coding.cuts(big, 500)
+    assert "".join(parts) == big and len(parts) > 5
+    assert [x for i, c in enumerate(parts) for x in p.encode([piece_coding.normal(c, i == 0)])[0]] == sp.encode(big)
+    want = sorted((x[0] is not None, x[0] or 0, len(sp.encode(x[1] or ""))) for x in rows)
+    for chunk in (piece_coding.CHUNK, 200):
+        got = piece_coding.digests(docs, chunk=chunk).collect()
+        assert sorted((x.doc_id is not None, x.doc_id or 0, x.n_tokens) for x in got) == want and all(x.round_trip for x in got)
+    assert piece_coding.decode(piece_coding.encode(docs, chunk=200)).where("decoded <> source").count() == 0
+    assert piece_coding.digests(none).count() == 0
+
+
+def test_op5_reads_back(spark):
+    r = random.Random(2)
+    odd = "<|im_end|><|im_start|>assistant \\n \\ <| <\\|"
+    rows = [(c, t, ["system", "user", "assistant"][t % 3] if t else "system", None if r.random() < 0.1 else odd * r.randint(0, 2) + sentence(r, r.randint(1, 500))) for c in range(6) for t in range(r.randint(1, 14))]
+    rows += [(None, 0, "assistant", "no id"), (9, 0, None, "ok"), (9, 0, "assis\ntant", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    windows = chat_format.format_conversations(df)
+    got = {x.conv_id: x for x in chat_format.digests(windows).collect()}
+    for c in {x[0] for x in rows}:
+        turns = sorted(((x[1], x[2], x[3]) for x in rows if x[0] == c), key=lambda x: (x[0], x[1] or "", x[2] or ""))
+        loss = "".join(x[2] or "" for x in turns if x[1] == "assistant")
+        said = "".join(f"{x[1] or ''}\n{x[2] or ''}\n" for x in turns)
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    later = [w for w in windows.collect() if w.window > 0]
+    assert later and all(chat_format.read_window(w.formatted)[0][0] == "system" for w in later)
+    assert all(w.n_tokens <= chat_format.BUDGET or w.n_new == 1 for w in windows.collect())
+    assert chat_format.digests(chat_format.format_conversations(df.limit(0))).count() == 0
+
+
+def test_op6_against_brute_force(spark, docs, rows, none):
+    def brute(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        c = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        seen = {k for i in range(len(w) - 4) if c[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(seen)
+
+    got = quality.clean_lines(docs).select("text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    for x in got:
+        assert brute(x.text) == tuple(x)[1:6]
+        assert x.base_failed == (x.n_words < 10 or 100 * x.n_repeat_words > 20 * x.n_words)
+        assert not (x.kept and x.base_failed)
+    assert len(got) == len(rows) and {x.kept for x in got if x.text in {r[1] for r in rows[:12]}} == {True}
+    out = quality.quality_stage(spark, docs, "")
+    assert out.columns == docs.columns and {x.kept for x in out.collect()} <= {"k", None}
+    assert quality.quality_stage(spark, none, "").count() == 0
+    bad = spark.createDataFrame([("Home | About | News | Contact\nGood words make a fine line here, and this one goes on with other words till its end.",), ("Home | About | News\n" * 9,)], "text string")
+    assert [x.kept for x in quality.clean_lines(bad).collect()] == [True, False]
+
+
+def test_op7_equals_the_library(spark, docs, rows, none):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path(token_count.DEFAULT))
+    got = sorted((x.doc_id is not None, x.doc_id or 0, x.n_bytes, x.n_tokens, x.over_limit) for x in token_count.count_tokens(docs).collect())
+    want = []
+    for x in rows:
+        n = len(tok.encode(x[1] or "", add_special_tokens=False).ids)
+        want.append((x[0] is not None, x[0] or 0, len((x[1] or "").encode()), n, n > 2048))
+    assert got == sorted(want)
+    c = token_count.Counter(P.path(token_count.DEFAULT))
+    r = random.Random(1)
+    texts = ["".join(r.choice("abcdeéΣς'sSt 1②½!.\n<|>́İ日😀") for _ in range(r.randint(0, 40))) for _ in range(500)] + ["a<|endoftext|>b <|startoftext|>", "aaaa" * 500]
+    assert c.counts(texts) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert token_count.count_tokens(none).count() == 0
+
+
+def brute_jaccard(texts, words, percent):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    n = len(texts)
+    links = [(i, j) for i in range(n) for j in range(i + 1, n) if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    return sets, components(n, links), links
+
+
+def test_op8_against_all_pairs(spark, docs, rows, none):
+    r = random.Random(21)
+    base = sentence(r, 90).split()
+    copies = []
+    for _ in range(70):  # a large group of near copies of one text
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = word(r)
+        copies.append(" ".join(w))
+    texts = copies + [x[1] for x in rows if x[0] is not None][:-1]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x for x in jaccard_join.jaccard_components(df).collect()}
+    sets, comp, links = brute_jaccard(texts, 4, 85)
+    assert len(links) > 100
+    for i in range(len(texts)):
+        assert (got[i].n_shingles, got[i].component_id) == (len(sets[i]), comp[i])
+    out = jaccard_join.jaccard_stage(spark, docs, "")
+    assert out.columns == docs.columns and 12 not in {x.doc_id for x in out.collect()}
+    assert jaccard_join.jaccard_components(none).count() == 0
+
+
+def test_op9_packs_all(spark, docs, rows, none):
+    from tokenizers import Tokenizer
+    import zlib
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = packing.packing_stage(spark, docs, "").collect()
+    by = Counter()
+    for x in rows:
+        ids = np.array([*tok.encode(x[1] or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        for p, (s, n) in enumerate(packing.cut(len(ids), 2048)):
+            by[x[0], p, s, n, zlib.crc32(ids[s : s + n].tobytes())] += 1
+    assert Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got) == by
+    seqs = {}
+    for x in got:
+        seqs.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for places in seqs.values():
+        end = 0
+        for o, n in sorted(places):
+            assert o == end
+            end += n
+        assert end <= 2048
+    assert len(seqs) <= -(-sum(x.length for x in got) // 2048) + 1
+    assert packing.packing_stage(spark, none, "").count() == 0
+
+
+def test_plan_is_tight():
+    r = random.Random(3)
+    h = Counter(r.randint(20, 2047) for _ in range(30000))
+    plan = packing.Plan(h)
+    used = Counter()
+    for length, _, count, *_ in plan.runs:
+        used[length] += count
+    assert used == h and plan.n * 2048 <= 1.01 * sum(k * v for k, v in h.items())
+
+
+def test_op10_learns_and_names(spark, none, sf_dir):
+    got = language_id.op10_language_id(spark, sf_dir).collect()
+    lang = {x.doc_id: x.lang for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
+    held = [x for x in got if x.held_out]
+    assert len(got) == len(lang) and np.mean([x.lang_pred == lang[x.doc_id] for x in held]) > 0.95
+    model = language_id.fit(language_id.features(["abc abc", "xyz xyz"]), ["a", "b"])
+    assert model.predict([None, "", "123 !", "abc abc abc"])[0] == ["und", "und", "und", "a"]
+    assert language_id.identify(none, language_id.train(none)).count() == 0
+
+
+def test_pipeline_stages_in_order(spark):
+    import corpus_pipeline
+
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "secret_scans", "best_fit_packing"]
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
