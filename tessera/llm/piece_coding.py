@@ -36,8 +36,8 @@ SEGMENT = 512
 #: Bits of the number of slots that remember which pieces may be neighbours.
 SLOTS = 20
 CHUNK = 1 << 16
-#: Parts a task remembers; beyond it, it starts anew, so memory is bounded.
-MEMORY = 200_000
+#: Parts a task remembers; beyond it, those not met again since as many others came are forgotten.
+MEMORY = 250_000
 CUT = regex.compile(rf"(?<=[^{MARK}\n]) (?=[^ {MARK}\n])|\n")
 
 
@@ -78,6 +78,7 @@ class Pieces:
         self.table = np.full(1 << SLOTS, -2, dtype=np.int64)
         self.answer: dict[int, int] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def plain(self, s: str) -> list[str]:
         """Merges of the best scored neighbours, leftmost first: for a text of two pieces at most."""
@@ -155,17 +156,18 @@ class Pieces:
                 last[at], length[at] = number[good], n
         return place, last, length
 
-    def back(self, last: np.ndarray, length: np.ndarray, at: int, till: int, stop: int) -> list[int]:
+    def back(self, last: list[int], length: list[int], at: int, till: int, stop: int) -> list[int]:
         """Pieces from place `till` back to place `stop`, in order; places count from `at`."""
         out = []
         while till > stop:
-            out.append(int(last[at + till]))
-            till -= int(length[at + till])
+            out.append(last[at + till])
+            till -= length[at + till]
         return out[::-1]
 
     def words(self, words: list[str]) -> list[list[int]]:
         place, last, length = self.lattice(words, [0] * len(words))
-        return [self.back(last, length, int(p), len(w), 0) for p, w in zip(place, words, strict=True)]
+        last, length = last.tolist(), length.tolist()
+        return [self.back(last, length, p, len(w), 0) for p, w in zip(place.tolist(), words, strict=True)]
 
     # --- parts without a safe cut: matrices between cut states -------------------------------------------------
 
@@ -196,7 +198,7 @@ class Pieces:
                     if end - a > 0 and last[p + end - a] >= 0 and (start := end - int(length[p + end - a])) < cut and end >= entry[1]:
                         matrix.setdefault(entry, {})[start, end] = 0.0
             matrices.append(matrix)
-            kept.append((entries, place, last, length))
+            kept.append((entries, place, last.tolist(), length.tolist()))
             left = cut
         prefixes = scan(matrices)
         # The one state of each cut from which the end can be reached.
@@ -217,8 +219,12 @@ class Pieces:
         """Ids of normalized texts (space marks for spaces)."""
         split = [self.parts.findall(t) for t in texts]
         if len(self.known) > MEMORY:
-            self.known.clear()
-        fresh = list({w for ws in split for w in ws if w not in self.known})
+            self.known, self.older = {}, self.known
+        fresh = {w for ws in split for w in ws}.difference(self.known)
+        if self.older:
+            again = fresh.intersection(self.older)
+            self.known.update((w, self.older[w]) for w in again)
+            fresh -= again
         short = sorted((w for w in fresh if len(w) <= SEGMENT), key=len)
         for i in range(0, len(short), 8192):
             part = short[i : i + 8192]
@@ -229,6 +235,8 @@ class Pieces:
 
     def spelled(self, numbers: list[int]) -> tuple[int, ...]:
         """Characters outside the vocabulary as their bytes."""
+        if max(numbers) < self.none:
+            return tuple(numbers)
         return tuple(y for x in numbers for y in ([x] if x < self.none else [self.byte[b] for b in chr(x - self.none).encode("utf-8", "surrogatepass")]))
 
     def decode(self, numbers: list[int], first: bool = True) -> str:
@@ -292,8 +300,9 @@ def cuts(text: str, chunk: int = CHUNK) -> list[str]:
     return [*out, text[at:]]
 
 
-def chunks(docs: DataFrame, key: str, text: str, chunk: int) -> DataFrame:
-    """(key, row, chunk, n_chunks, source): one row per chunk, dealt anew; `row` tells repeated rows of a key apart."""
+def chunks(docs: DataFrame, key: str, text: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(key, row, chunk, n_chunks, source) of the texts of one chunk, which stay where they are, and of the chunks of
+    longer ones, dealt anew; `row` tells repeated rows of a key apart."""
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batch: pa.RecordBatch) -> list:
@@ -313,7 +322,7 @@ def chunks(docs: DataFrame, key: str, text: str, chunk: int) -> DataFrame:
     numbered = docs.select(F.col(key), F.monotonically_increasing_id().alias("row"), source.alias("source"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = numbered.where(F.length("source") <= chunk).select(key, "row", F.lit(0).alias("chunk"), F.lit(1).alias("n_chunks"), "source")
-    return whole.unionByName(map_arrow(numbered.where(F.length("source") > chunk), cut, fields).repartition(n, "row", "chunk"))
+    return whole, map_arrow(numbered.where(F.length("source") > chunk), cut, fields).repartition(n, "row", "chunk")
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -328,7 +337,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
         return [*batch.columns, ids]
 
     fields = f"{key} {kind}, row long, chunk int, n_chunks int, source string, ids array<int>"
-    return map_arrow(chunks(docs, key, text, chunk), run, fields, lambda: pieces(model or public_tokenizers.path(DEFAULT)))
+    whole, dealt = chunks(docs, key, text, chunk)
+    return map_arrow(whole.unionByName(dealt), run, fields, lambda: pieces(model or public_tokenizers.path(DEFAULT)))
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -359,11 +369,14 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 same.append(p.decode(ids, c == 0) == t)
         return [*batch.columns[:4], n, packed, same]
 
-    done = map_arrow(chunks(docs, key, text, chunk), run, f"{fields}, n_tokens long, ids binary, same boolean", lambda: pieces(model or public_tokenizers.path(DEFAULT)))
-    # A group is the chunks of one text, no larger than the text itself; a text of one chunk is not grouped with others.
-    one = F.col("n_chunks") == 1
-    small = done.where(one).select(key, "n_tokens", F.crc32("ids").alias("ids_crc32"), F.col("same").alias("round_trip"))
-    parts = done.where(~one).groupBy("row", key).agg(
+    def load() -> Pieces:
+        return pieces(model or public_tokenizers.path(DEFAULT))
+
+    schema = f"{fields}, n_tokens long, ids binary, same boolean"
+    whole, dealt = (map_arrow(c, run, schema, load) for c in chunks(docs, key, text, chunk))
+    small = whole.select(key, "n_tokens", F.crc32("ids").alias("ids_crc32"), F.col("same").alias("round_trip"))
+    # A group is the chunks of one text, no larger than the text itself.
+    parts = dealt.groupBy("row", key).agg(
         F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"), F.every("same").alias("round_trip")
     )
     joined = F.expr("crc32(aggregate(transform(parts, p -> p.ids), X'', (a, b) -> concat(a, b)))")
