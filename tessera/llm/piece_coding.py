@@ -33,11 +33,13 @@ from .hashing import Prefix, mix
 DEFAULT = "piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = 512
+#: Texts that are coded together.
+ROWS = 1024
 #: Bits of the number of slots that remember which pieces may be neighbours.
-SLOTS = 20
+SLOTS = 22
 CHUNK = 1 << 16
 #: Parts a task remembers; beyond it, those not met again since as many others came are forgotten.
-MEMORY = 250_000
+MEMORY = 300_000
 CUT = regex.compile(rf"(?<=[^{MARK}\n]) (?=[^ {MARK}\n])|\n")
 
 
@@ -226,8 +228,8 @@ class Pieces:
             self.known.update((w, self.older[w]) for w in again)
             fresh -= again
         short = sorted((w for w in fresh if len(w) <= SEGMENT), key=len)
-        for i in range(0, len(short), 8192):
-            part = short[i : i + 8192]
+        for i in range(0, len(short), 16384):
+            part = short[i : i + 16384]
             self.known.update((w, self.spelled(x)) for w, x in zip(part, self.words(part), strict=True))
         long = {w: self.spelled(self.scan(w)) for w in fresh if len(w) > SEGMENT}
         known = self.known | long if long else self.known
@@ -331,8 +333,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
 
     def run(batch: pa.RecordBatch, p: Pieces) -> list:
         ids: list[list[int]] = []
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
+        for i in range(0, batch.num_rows, ROWS):
+            part = batch.slice(i, ROWS)
             ids += p.encode([normal(t, c == 0) for t, c in zip(part.column(4).to_pylist(), part.column(2).to_pylist(), strict=True)])
         return [*batch.columns, ids]
 
@@ -360,8 +362,8 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
 
     def run(batch: pa.RecordBatch, p: Pieces) -> list:
         n, packed, same = [], [], []
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
+        for i in range(0, batch.num_rows, ROWS):
+            part = batch.slice(i, ROWS)
             texts, places = part.column(4).to_pylist(), part.column(2).to_pylist()
             for t, c, ids in zip(texts, places, p.encode([normal(t, c == 0) for t, c in zip(texts, places, strict=True)]), strict=True):
                 n.append(len(ids))
