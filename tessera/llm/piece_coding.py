@@ -18,7 +18,8 @@ its bytes; a space mark in a text decodes to a space, as in the library; repeate
 from __future__ import annotations
 
 import functools
-import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ ROWS = 1024
 SLOTS = 22
 CHUNK = 1 << 16
 #: Parts a task remembers; beyond it, those not met again since as many others came are forgotten.
-MEMORY = 300_000
+MEMORY = 600_000
 CUT = regex.compile(rf"(?<=[^{MARK}\n]) (?=[^ {MARK}\n])|\n")
 
 
@@ -233,7 +234,7 @@ class Pieces:
             self.known.update((w, self.spelled(x)) for w, x in zip(part, self.words(part), strict=True))
         long = {w: self.spelled(self.scan(w)) for w in fresh if len(w) > SEGMENT}
         known = self.known | long if long else self.known
-        return [[x for w in ws for x in known[w]] for ws in split]
+        return [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in split]
 
     def spelled(self, numbers: list[int]) -> tuple[int, ...]:
         """Characters outside the vocabulary as their bytes."""
@@ -367,7 +368,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
             texts, places = part.column(4).to_pylist(), part.column(2).to_pylist()
             for t, c, ids in zip(texts, places, p.encode([normal(t, c == 0) for t, c in zip(texts, places, strict=True)]), strict=True):
                 n.append(len(ids))
-                packed.append(np.array(ids, dtype="<u4").tobytes())
+                packed.append(np.frombuffer(array("I", ids), dtype=np.uint32).astype("<u4", copy=False).tobytes() if ids else b"")
                 same.append(p.decode(ids, c == 0) == t)
         return [*batch.columns[:4], n, packed, same]
 
