@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def min_image(d: Column, length: float) -> Column:
     return d - F.rint(d / F.lit(float(length))) * F.lit(float(length))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: formulas that use their arguments often grow fast when nested."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def free(d: Column, length: float) -> Column:
     """A difference along an axis without periodicity."""
     return d
@@ -58,6 +65,115 @@ def quat_matrix(q: Column) -> list[Column]:
     ]
 
 
+def matrix_quat(r: list[Column]) -> Column:
+    """Quaternion of a rotation matrix (nine entries by row): the largest part by its square, the others by quotients."""
+    squares = [1 + r[0] + r[4] + r[8], 1 + r[0] - r[4] - r[8], 1 - r[0] + r[4] - r[8], 1 - r[0] - r[4] + r[8]]
+    rows = [
+        [squares[0], r[7] - r[5], r[2] - r[6], r[3] - r[1]],
+        [r[7] - r[5], squares[1], r[1] + r[3], r[2] + r[6]],
+        [r[2] - r[6], r[1] + r[3], squares[2], r[5] + r[7]],
+        [r[3] - r[1], r[2] + r[6], r[5] + r[7], squares[3]],
+    ]
+    top, out = F.greatest(*squares), None
+    for square, row in zip(squares, rows, strict=True):
+        one = quat(*[c / (2 * F.sqrt(top)) for c in row])
+        out = F.when(square == top, one) if out is None else out.when(square == top, one)
+    return let(out, quat_canonical)
+
+
+def axis_angle(q: Column) -> Column:
+    """(x, y, z, angle): unit axis and degrees in [0, 180]; the identity has the axis z."""
+    size = F.sqrt(q.x * q.x + q.y * q.y + q.z * q.z)
+    sign, angle = F.when(q.w < 0, -1.0).otherwise(1.0), quat_angle(q.w)
+    still = (angle < F.lit(IDENTITY)) | (size == 0)
+    parts = [F.when(still, F.lit(float(c == "z"))).otherwise(sign * q[c] / F.nullif(size, F.lit(0.0))).alias(c) for c in "xyz"]
+    return F.struct(*parts, F.when(still, 0.0).otherwise(angle).alias("angle"))
+
+
+def from_axis_angle(x: Column, y: Column, z: Column, degrees: Column) -> Column:
+    """Null for a zero axis."""
+    size, half = F.nullif(F.sqrt(x * x + y * y + z * z), F.lit(0.0)), F.radians(degrees) / 2
+    return F.when(size.isNotNull(), quat(F.cos(half), *[F.sin(half) * c / size for c in (x, y, z)]))
+
+
+def bunge(q: Column) -> Column:
+    """(phi1, Phi, phi2) in degrees, turns about z, x, z; where Phi is 0 or 180, phi2 is 0."""
+    r = quat_matrix(q)
+    tilt = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r[8])))
+    flat, turn = F.sin(tilt) < F.lit(1e-7), F.lit(360.0)
+    first = F.when(flat, F.atan2(r[3], r[0])).otherwise(F.atan2(r[2], -r[5]))
+    last = F.when(flat, F.lit(0.0)).otherwise(F.atan2(r[6], r[7]))
+    return F.struct(F.pmod(F.degrees(first), turn).alias("phi1"), F.degrees(tilt).alias("Phi"), F.pmod(F.degrees(last), turn).alias("phi2"))
+
+
+def from_bunge(phi1: Column, tilt: Column, phi2: Column) -> Column:
+    total, gap, half = F.radians(phi1 + phi2) / 2, F.radians(phi1 - phi2) / 2, F.radians(tilt) / 2
+    found = quat(F.cos(half) * F.cos(total), F.sin(half) * F.cos(gap), F.sin(half) * F.sin(gap), F.cos(half) * F.sin(total))
+    return let(found, quat_canonical)
+
+
+IDENTITY = 1e-6
+
+
+def class_deviation(p: Column, q: Column, symmetry: Column) -> Column:
+    """Degrees between two misorientations up to symmetry on both sides and exchange of the two crystals.
+
+    The scalar part of conj(p) a q b is the dot of p and a q b; exchange turns q into its conjugate.
+    """
+
+    def best(base: Column) -> Column:
+        def turned(left: Column) -> Column:
+            return F.array_max(F.transform(symmetry, lambda b: F.abs(left.w * b.w - left.x * b.x - left.y * b.y - left.z * b.z)))
+
+        return F.array_max(F.transform(symmetry, lambda a: let(quat_mul(quat_conj(p), a), lambda m: let(quat_mul(m, base), turned))))
+
+    return quat_angle(let(q, lambda base: F.greatest(best(base), let(quat_conj(base), best))))
+
+
+def lab_axis(p: Column, q: Column, symmetry: Column) -> Column:
+    """(x, y, z, angle): the smallest rotation that takes crystal p to crystal q, in the frame of the sample."""
+    back = quat_conj(p)
+    turn = F.transform(symmetry, lambda s: let(quat_mul(q, s), lambda m: quat_mul(m, back)))
+    best = F.array_max(F.transform(turn, lambda m: F.struct(F.abs(m.w).alias("size"), m.alias("m"))))
+    return let(best, lambda b: axis_angle(b.m))
+
+
+def rotate(q: Column, x: Column, y: Column, z: Column) -> list[Column]:
+    r = quat_matrix(q)
+    return [r[3 * k] * x + r[3 * k + 1] * y + r[3 * k + 2] * z for k in range(3)]
+
+
+def rotate_back(q: Column, x: Column, y: Column, z: Column) -> list[Column]:
+    r = quat_matrix(q)
+    return [r[k] * x + r[k + 3] * y + r[k + 6] * z for k in range(3)]
+
+
+def curvature(phi: dict[tuple[int, int, int], Column], h: float) -> Column:
+    """(mean, gauss, ok) of the level set of `phi`, its values at the 19 offsets with at most two steps of h; 0 where the slope is under 0.1."""
+    at = lambda *o: phi[o]
+    unit = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    minus = [tuple(-c for c in u) for u in unit]
+    add = lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))
+    g = [(at(*unit[k]) - at(*minus[k])) / (2 * h) for k in range(3)]
+    second = [(at(*unit[k]) - 2 * at(0, 0, 0) + at(*minus[k])) / (h * h) for k in range(3)]
+    mixed = {
+        (a, b): (at(*add(unit[a], unit[b])) - at(*add(unit[a], minus[b])) - at(*add(minus[a], unit[b])) + at(*add(minus[a], minus[b]))) / (4 * h * h)
+        for a, b in ((0, 1), (0, 2), (1, 2))
+    }
+    m = lambda a, b: second[a] if a == b else mixed[min(a, b), max(a, b)]
+    square = g[0] * g[0] + g[1] * g[1] + g[2] * g[2]
+    size = F.sqrt(square)
+    along = sum((g[a] * m(a, b) * g[b] for a in range(3) for b in range(3)), F.lit(0.0))
+    cofactor = lambda a, b: m((a + 1) % 3, (b + 1) % 3) * m((a + 2) % 3, (b + 2) % 3) - m((a + 1) % 3, (b + 2) % 3) * m((a + 2) % 3, (b + 1) % 3)
+    bulge = sum((g[a] * cofactor(b, a) * g[b] for a in range(3) for b in range(3)), F.lit(0.0))
+    ok = size > F.lit(0.1)
+    mean = F.when(ok, (along - square * (second[0] + second[1] + second[2])) / (2 * square * size)).otherwise(0.0)
+    return F.struct(mean.alias("mean"), F.when(ok, bulge / (square * square)).otherwise(0.0).alias("gauss"), ok.alias("ok"))
+
+
+STENCIL = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if abs(a) + abs(b) + abs(c) < 3]
+
+
 def quat_angle(w: Column) -> Column:
     """Rotation angle in degrees from a scalar part."""
     return F.degrees(2 * F.acos(F.least(F.lit(1.0), F.abs(w))))
@@ -65,8 +181,8 @@ def quat_angle(w: Column) -> Column:
 
 def disorientation_angle(p: Column, q: Column, symmetry: Column) -> Column:
     """Smallest angle between two orientations over a symmetry group (an array of quaternions)."""
-    m = quat_mul(quat_conj(p), q)
-    return quat_angle(F.array_max(F.transform(symmetry, lambda s: F.abs(m.w * s.w - m.x * s.x - m.y * s.y - m.z * s.z))))
+    best = lambda m: F.array_max(F.transform(symmetry, lambda s: F.abs(m.w * s.w - m.x * s.x - m.y * s.y - m.z * s.z)))
+    return quat_angle(let(quat_mul(quat_conj(p), q), best))
 
 
 def equivalent_diameter(volume: Column) -> Column:

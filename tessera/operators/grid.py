@@ -27,7 +27,29 @@ def faces(voxels: DataFrame, n: int) -> DataFrame:
     own = voxels.withColumn("s", step).select("i", "j", "k", "grain", "s.*")
     other = voxels.select(F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("k").alias("nk"), F.col("grain").alias("other"))
     both = own.join(other, ["ni", "nj", "nk"]).where("grain <> other")
-    return both.select("axis", "i", "j", "k", F.least("grain", "other").alias("grain_i"), F.greatest("grain", "other").alias("grain_j"))
+    sign = F.when(F.col("grain") < F.col("other"), 1).otherwise(-1).alias("sign")
+    return both.select("axis", "i", "j", "k", F.least("grain", "other").alias("grain_i"), F.greatest("grain", "other").alias("grain_j"), sign)
+
+
+def normals(voxels: DataFrame, n: int, face: float) -> DataFrame:
+    """(grain_i, grain_j, area, nx, ny, nz, spread) per interface: mean normal from grain_i to grain_j, and the root of the
+    mean square angle of faces to it in degrees. Without a direction (mean shorter than 1e-6) the normal is null and the spread 90."""
+    counts = [F.count_if((F.col("axis") == a) & (F.col("sign") == s)).alias(f"{a}{t}") for a in "ijk" for s, t in ((1, "p"), (-1, "m"))]
+    c = faces(voxels, n).groupBy("grain_i", "grain_j").agg(F.count("*").alias("n"), *counts)
+    net = [(F.col(f"{a}p") - F.col(f"{a}m")).cast("double") for a in "ijk"]
+    size = F.sqrt(net[0] * net[0] + net[1] * net[1] + net[2] * net[2])
+    c = c.withColumn("size", F.when(size / F.col("n") >= F.lit(1e-6), size))
+    for a, name in zip("ijk", ("nx", "ny", "nz"), strict=True):
+        c = c.withColumn(name, (F.col(f"{a}p") - F.col(f"{a}m")) / F.col("size"))
+    clip = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x))
+    miss = [F.col(f"{a}{t}") * F.pow(F.degrees(F.acos(clip(s * F.col(m)))), F.lit(2.0)) for a, m in zip("ijk", ("nx", "ny", "nz"), strict=True) for t, s in (("p", 1), ("m", -1))]
+    spread = F.sqrt(sum(miss[1:], miss[0]) / F.col("n"))
+    return c.select("grain_i", "grain_j", (F.col("n") * F.lit(face)).alias("area"), "nx", "ny", "nz", F.coalesce(spread, F.lit(90.0)).alias("spread"))
+
+
+def surface(voxels: DataFrame, n: int, face: float) -> DataFrame:
+    """Surface of each grain: both sides of every label change."""
+    return faces(voxels, n).select(F.explode(F.array("grain_i", "grain_j")).alias("grain")).groupBy("grain").agg((F.count("*") * F.lit(face)).alias("surface"))
 
 
 def areas(voxels: DataFrame, n: int, face: float) -> DataFrame:

@@ -48,3 +48,31 @@ def weighted_mean(v: Column, w: Column) -> Column:
 def effective_size(w: Column) -> Column:
     """Kish's effective sample size."""
     return F.pow(F.sum(w), F.lit(2.0)) / F.sum(w * w)
+
+
+def normal_cdf(z: Column) -> Column:
+    """Normal distribution by the rational approximation of the error function with five terms (error below 2e-7)."""
+    u = z / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + F.lit(0.3275911) * F.abs(u))
+    # Coefficients of the approximation.
+    terms = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+    poly = F.lit(terms[4])
+    for c in terms[3::-1]:
+        poly = F.lit(c) + t * poly
+    return 0.5 * (1 + F.signum(u) * (1 - t * poly * F.exp(-u * u)))
+
+
+def lognormal_distance(logs: DataFrame) -> DataFrame:
+    """(mu, sigma, ks) of logarithms x: fit and Kolmogorov-Smirnov distance; ks is null where sigma is not above 1e-9.
+
+    Ranks come from counts of distinct values, so only those, not rows, pass one sorted window; x is per cell.
+    """
+    from pyspark.sql import Window
+
+    fit = logs.agg(F.avg("x").alias("mu"), F.stddev_samp("x").alias("sigma"), F.count("*").alias("n"))
+    values = logs.groupBy("x").agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = values.withColumn("top", upto).crossJoin(F.broadcast(fit))
+    cdf = F.when(F.col("sigma") > F.lit(1e-9), normal_cdf((F.col("x") - F.col("mu")) / F.col("sigma")))
+    gap = F.greatest(F.col("top") / F.col("n") - cdf, cdf - (F.col("top") - F.col("m")) / F.col("n"))
+    return ranked.groupBy("mu", "sigma").agg(F.max(gap).alias("ks"))

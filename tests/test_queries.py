@@ -6,7 +6,7 @@ import pytest
 
 from tessera.functions import geometry as G
 from tessera.operators import pairs
-from tessera.plans.registry import ORACLE, QUERIES
+from tessera.plans.catalog import ORACLE, QUERIES
 
 
 @pytest.fixture(scope="module")
