@@ -128,6 +128,30 @@ def test_op2_against_all_pairs(spark, none):
     assert line_dedup.line_classes(none).count() == 0
 
 
+def test_op2_long_lines_link_by_their_length(spark):
+    r = random.Random(12)
+    lines = [sentence(r, n) for n in (9, 10, 11, 16, 30, 34, 40, 70) for _ in range(3)]
+    lines += [" ".join(lines[12:24]), "x" * 400]
+    for s in lines[:]:
+        for share in (0.5, 1, 1, 1.3):  # edits as far apart as they go
+            t, k = list(s), max(1, round(share * len(s) / 20))
+            for i in range(k):
+                at = (2 * i + 1) * len(s) // (2 * k)
+                t[at] = r.choice(["", "z", "zy", t[at] + "q"])
+            lines.append("".join(t))
+    crowd = [list(sentence(r, 40)) for _ in range(1)] * 40  # a large list
+    lines += ["".join(c if r.random() > 0.02 else "z" for c in s) for s in crowd]
+    r.shuffle(lines)
+    lines = [s.strip() for s in lines]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.first_doc for x in line_dedup.line_classes(df).collect()}
+    n = len(lines)
+    near = [(i, j) for i in range(n) for j in range(i + 1, n) if abs(len(lines[i]) - len(lines[j])) < 300 and line_dedup.distance(lines[i], lines[j]) <= max(2, min(len(lines[i]), len(lines[j])) // 20)]
+    assert len(near) > 100 and any(distance(lines[i], lines[j]) > 2 for i, j in near[:40])
+    assert all(line_dedup.distance(a, b) == distance(a, b) for a, b in zip(lines[:12], lines[1:13]))
+    assert got == dict(enumerate(components(n, near)))
+
+
 def test_line_stage_keeps_first_lines_and_columns(spark, docs, none):
     out = line_dedup.line_stage(spark, docs, "")
     assert out.columns == docs.columns
