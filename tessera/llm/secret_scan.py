@@ -2,9 +2,9 @@
 
 Layer 0 is the text itself. Each layer is scanned for secrets, then searched for encoded segments (percent
 escapes, \\u/\\x/&#; escapes, base64 with optional gzip, zlib or raw bytes); each decoded segment is a new layer,
-until no layer yields another. A layer's content is remembered by digest, so cycles and repeats end. Every layer
-carries a map from its code points to code points of the original text, so a finding in any layer has a span
-in the original; base findings of layer 0 always stay.
+until no layer yields another. Each content is scanned and searched once, so cycles and repeats end; each place where
+it occurs carries a map from its code points to those of the layer around it. Findings go outwards over all those
+places, so that every occurrence of a secret has a span in the original; base findings of layer 0 always stay.
 
 Defined cases: a null text is an empty one and has no spans; a repeated row is scanned again; escapes that
 decode to nothing readable are no layer. Growth is bounded by content: decoded bytes per document are limited to
@@ -18,8 +18,6 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,33 +130,25 @@ def _base64(s: str, limit: int) -> str | None:
     return _utf8(packed if packed is not None else data)
 
 
-def layers(text: str) -> Iterator[tuple[str, list[int] | None, list[int] | None]]:
-    """Every layer once: (content, start of each character in the original, end likewise); None: the identity."""
-    limit = MAX_EXPANSION * len(text) + EXPANSION_FLOOR
-    seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work: list[tuple[str, list[int] | None, list[int] | None]] = [(text, None, None)]
-    while work:
-        layer = work.pop()
-        yield layer
-        s, starts, ends = layer
-        found: list[tuple[str, list[int], list[int]]] = []
-        if "%" in s:
-            for m in PERCENT.finditer(s):
-                if got := _percent(m[0]):
-                    found.append((got[0], [i + m.start() for i in got[1]], [i + m.start() for i in got[2]]))
-        if ("\\" in s or "&#" in s) and ESCAPE.search(s):
-            for m in re.finditer(r"\S+", s):
-                if ESCAPE.search(m[0]):
-                    got = _escaped(m[0])
-                    found.append((got[0], [i + m.start() for i in got[1]], [i + m.start() for i in got[2]]))
-        for m in BASE64.finditer(s):
-            if not _plain(m[0]) and (t := _base64(m[0], limit)) is not None:
-                found.append((t, [m.start()] * len(t), [m.end()] * len(t)))
-        for t, a, b in found:
-            digest = hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if digest not in seen:
-                seen.add(digest)
-                work.append((t, a if starts is None else [starts[i] for i in a], b if ends is None else [ends[i - 1] for i in b]))
+Segment = tuple[str, list[int], list[int]]
+
+
+def segments(s: str, limit: int) -> list[Segment]:
+    """What is encoded in a layer: (content, start of each of its characters in `s`, end likewise)."""
+    found: list[Segment] = []
+    if "%" in s:
+        for m in PERCENT.finditer(s):
+            if got := _percent(m[0]):
+                found.append((got[0], [i + m.start() for i in got[1]], [i + m.start() for i in got[2]]))
+    if ("\\" in s or "&#" in s) and ESCAPE.search(s):
+        for m in re.finditer(r"\S+", s):
+            if ESCAPE.search(m[0]):
+                got = _escaped(m[0])
+                found.append((got[0], [i + m.start() for i in got[1]], [i + m.start() for i in got[2]]))
+    for m in BASE64.finditer(s):
+        if not _plain(m[0]) and (t := _base64(m[0], limit)) is not None:
+            found.append((t, [m.start()] * len(t), [m.end()] * len(t)))
+    return found
 
 
 def _plain(s: str) -> bool:
@@ -168,16 +158,27 @@ def _plain(s: str) -> bool:
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans: those of the base and those that decoded layers add, without repeats."""
-    base: list[tuple[int, int, int]] = []
-    every: set[tuple[int, int, int]] = set()
-    for s, starts, ends in layers(text):
-        found = base_spans(s)
-        if starts is None:
-            base = found
-            every.update(found)
-        else:
-            every.update((starts[a], ends[b - 1], k) for a, b, k in found)
-    return base, sorted(every, key=lambda s: (s[0], s[2], s[1]))
+    limit = MAX_EXPANSION * len(text) + EXPANSION_FLOOR
+    base = base_spans(text)
+    spans = {text: set(base)}
+    places: dict[str, list[tuple[str, list[int], list[int]]]] = {}  # of each content: the layer around it, and the map
+    work, news = [text], []
+    while work:
+        s = work.pop()
+        for t, starts, ends in segments(s, limit):
+            places.setdefault(t, []).append((s, starts, ends))
+            if t not in spans:
+                spans[t] = set(base_spans(t))
+                news += [(t, span) for span in spans[t]]
+                work.append(t)
+    while news:
+        t, (a, b, k) = news.pop()
+        for s, starts, ends in places.get(t, []):
+            span = (starts[a], ends[b - 1], k)
+            if span not in spans[s]:
+                spans[s].add(span)
+                news.append((s, span))
+    return base, sorted(spans[text], key=lambda s: (s[0], s[2], s[1]))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -176,6 +176,17 @@ def test_op3_layers_and_base(spark, docs, none):
     assert "hunter2" not in stage[26].text and stage[26].n_chars == len(stage[26].text) and stage[19].text is None
 
 
+def test_op3_every_occurrence():
+    s = base64.b64encode(b"password=hunter22abc").decode()
+    outer = base64.b64encode(f"{s} and {s}".encode()).decode()
+    for encs in ((s, s), (s, "pass%77ord%3Dhunter22abc", s), (outer, s, outer)):
+        text = " then ".join(encs)
+        at = [text.index(encs[0]), *[text.index(e, len(encs[0])) for e in encs[1:2]]]
+        got = secret_scan.all_spans(text)[1]
+        assert len(got) == len(encs) and [g[0] for g in got][:2] == at
+        assert all(e not in secret_scan.redact(text) for e in encs)
+
+
 def test_op4_equals_the_library(spark, docs, rows, none):
     import sentencepiece
 
