@@ -1,8 +1,8 @@
 """Secret scans: a recursive decoding worklist over whole texts.
 
 Layer 0 is the text itself. Each layer is scanned for secrets, then searched for encoded segments (percent
-escapes, \\u/\\x/&#; escapes, base64 with optional gzip, zlib or raw bytes); each decoded segment is a new layer,
-until no layer yields another. Each content is scanned and searched once, so cycles and repeats end; each place where
+escapes, \\u/\\x/&#; escapes, base64 with optional gzip, zlib or raw bytes); each decoded segment is a new layer, and so is its line with
+what is decoded put in its place (findings do not go over line ends), until no layer yields another. Each content is scanned and searched once, so cycles and repeats end; each place where
 it occurs carries a map from its code points to those of the layer around it. Findings go outwards over all those
 places, so that every occurrence of a secret has a span in the original; base findings of layer 0 always stay.
 
@@ -145,10 +145,41 @@ def segments(s: str, limit: int) -> list[Segment]:
             if ESCAPE.search(m[0]):
                 got = _escaped(m[0])
                 found.append((got[0], [i + m.start() for i in got[1]], [i + m.start() for i in got[2]]))
+    escapes = found[:]
     for m in BASE64.finditer(s):
         if not _plain(m[0]) and (t := _base64(m[0], limit)) is not None:
             found.append((t, [m.start()] * len(t), [m.end()] * len(t)))
-    return found
+    return found + spliced(s, escapes) + spliced(s, found[len(escapes) :])
+
+
+def spliced(s: str, found: list[Segment]) -> list[Segment]:
+    """The lines of `s` that hold segments, with what these decode to put in their places; segments that overlap an
+    earlier one are left, as the next layer has them again."""
+    out: list[Segment] = []
+    todo = sorted((f for f in found if f[0]), key=lambda f: (f[1][0], -f[2][-1]))
+    k = 0
+    while k < len(todo):
+        # From the line's begin to the end of the last line that its segments reach.
+        at = s.rfind("\n", 0, todo[k][1][0]) + 1
+        parts, starts, ends = [], [], []
+        last = -1
+        while k < len(todo):
+            t, a, b = todo[k]
+            if last >= 0 and "\n" in s[last : a[0]]:
+                break
+            k += 1
+            if a[0] < at:
+                continue
+            parts += [s[at : a[0]], t]
+            starts += [*range(at, a[0]), *a]
+            ends += [*range(at + 1, a[0] + 1), *b]
+            at = last = b[-1]
+        stop = s.find("\n", at)
+        stop = len(s) if stop < 0 else stop
+        starts += range(at, stop)
+        ends += range(at + 1, stop + 1)
+        out.append(("".join([*parts, s[at:stop]]), starts, ends))
+    return out
 
 
 def _plain(s: str) -> bool:

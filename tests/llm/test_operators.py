@@ -187,6 +187,19 @@ def test_op3_every_occurrence():
         assert all(e not in secret_scan.redact(text) for e in encs)
 
 
+def test_op3_escapes_keep_their_line():
+    wrapped = base64.b64encode(b'my "passwd" for it').decode()
+    for line in ('"password": "h%75nter22abc"', "password = h%75nter22abc", "password: \\u0068unter22abc", '"password": "\\u0068unter22abc"', "pass%77ord = 'h\\x75nter22abc'", f"{wrapped}", f"{base64.b64encode(b'my login password').decode()} = hunter22abc"):
+        text = f"first line\nhé {line}, and more\nlast"
+        base, every = secret_scan.all_spans(text)
+        assert not base
+        if line == wrapped:
+            assert not every
+            continue
+        assert every and all(text.index(line) <= a < b <= text.index(line) + len(line) for a, b, _ in every)
+        assert "nter22abc" not in secret_scan.redact(text) and secret_scan.redact(text).endswith(", and more\nlast")
+
+
 def test_op4_equals_the_library(spark, docs, rows, none):
     import sentencepiece
 
