@@ -13,7 +13,6 @@ decode to nothing readable are no layer. Growth is bounded by content: decoded b
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -35,7 +34,14 @@ ANY_KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCI
 
 PERCENT = re.compile(r"[A-Za-z0-9_.~+/=:;,?&@!*'()$#\[\]-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+/=:;,?&@!*'()$#\[\]-]*)+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+#: Characters of both alphabets; lines of 16 or more go on in the next line, also where the line end is written \n.
+WRAP = r"(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n)"
+BASE64 = re.compile(rf"(?:[A-Za-z0-9+/_-]{{16,}}{WRAP})*[A-Za-z0-9+/_-]+={{0,2}}")
+LINE_END = re.compile(WRAP)
+#: Characters that a place in a run is judged by.
+PROBE = 16
+JOINS = str.maketrans("", "", "-_/+")
+SAFE = str.maketrans("-_", "+/")
 MAX_EXPANSION, EXPANSION_FLOOR = 64, 1 << 20
 
 
@@ -61,7 +67,8 @@ def _utf8(data: bytes) -> str | None:
     return s
 
 
-def _inflate(data: bytes, limit: int) -> bytes | None:
+def _inflate(data: bytes, limit: int) -> tuple[bytes, int] | None:
+    """What is packed, and how many bytes of `data` that took."""
     for head, bits in ((b"\x1f\x8b", 31), (b"x", 15)):
         if data.startswith(head):
             try:
@@ -69,7 +76,7 @@ def _inflate(data: bytes, limit: int) -> bytes | None:
                 out = d.decompress(data, limit)
             except zlib.error:
                 return None
-            return out if d.eof else None
+            return (out, len(data) - len(d.unused_data)) if d.eof else None
     return None
 
 
@@ -119,15 +126,83 @@ def _escaped(s: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), starts, ends
 
 
-def _base64(s: str, limit: int) -> str | None:
-    body = s.rstrip("=").translate(str.maketrans("-_", "+/"))
-    body = body[: len(body) - (len(body) % 4 == 1)]
+def _readable(data: bytes) -> str | None:
+    """The bytes as text, or as much of their begin as is readable, if that is 12 bytes or more."""
+    if (t := _utf8(data)) is not None:
+        return t
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    packed = _inflate(data, limit)
-    return _utf8(packed if packed is not None else data)
+        t = data.decode("utf-8")
+    except UnicodeDecodeError as e:
+        t = data[: e.start].decode("utf-8")
+        if len(t) >= 12 and _utf8(t.encode()) is not None:
+            return t
+    n = next((i for i, c in enumerate(t) if not (c.isprintable() or c in "\t\r\n")), len(t))
+    return t[:n] if len(t[:n].encode()) >= 12 else None
+
+
+def _decoded(body: str) -> bytes:
+    return binascii.a2b_base64(body[: len(body) - (len(body) % 4 == 1)] + "=" * (-len(body) % 4))
+
+
+def _packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (data[:1] == b"x" and len(data) > 1 and int.from_bytes(data[:2], "big") % 31 == 0)
+
+
+def _base64(run: str, limit: int) -> list[tuple[str, int, int]]:
+    """What a run holds, as (content, start, end in the run). It may begin at the run's start, after a character that
+    also joins words or paths, or at a line's start, and up to three characters later; it ends with the run, or where
+    it is no longer readable."""
+    at = None  # of each character without line ends, its place in the run
+    body = run.rstrip("=")
+    starts = {0}
+    if "\n" in body or "\\" in body:
+        at, parts, last = [], [], 0
+        for m in [*LINE_END.finditer(body), None]:
+            end = m.start() if m else len(body)
+            starts.add(len(at))
+            at += range(last, end)
+            parts.append(body[last:end])
+            last = m.end() if m else end
+        body = "".join(parts)
+    starts.update(m.end() for m in re.finditer(r"[/_+-]", body))
+    body = body.translate(SAFE)
+    out: list[tuple[str, int, int]] = []
+    done = 0
+    for place in sorted(starts):
+        for a in range(place, place + 4):
+            if a < done or len(body) - a < PROBE:
+                continue
+            head = _decoded(body[a : a + PROBE])
+            packed = _packed(head)
+            # Of readable text the first bytes are such, but for a character that the probe cuts.
+            if a and not packed and (b"\x00" in head or _start(head) is None):
+                continue
+            data = _decoded(body[a:])
+            t, used, whole = None, len(data), False
+            if packed and (got := _inflate(data, limit)) is not None:
+                t, used = _utf8(got[0]), got[1]
+                whole = t is not None
+            if t is None:
+                t = _readable(data)
+                if t is None:
+                    continue
+                used = len(t.encode())
+                whole = used == len(data)
+            end = len(body) if used == len(data) else min(len(body), a - (-used * 4 // 3))
+            out.append((t, at[a] if at else a, len(run) if end == len(body) else (at[end - 1] + 1 if at else end)))
+            if whole:
+                done = end
+    return out
+
+
+def _start(head: bytes) -> str | None:
+    try:
+        t = head.decode("utf-8")
+    except UnicodeDecodeError as e:
+        if e.start < len(head) - 3:
+            return None
+        t = head[: e.start].decode("utf-8")
+    return t if sum(not (c.isprintable() or c in "\t\r\n") for c in t) <= 1 else None
 
 
 Segment = tuple[str, list[int], list[int]]
@@ -147,8 +222,8 @@ def segments(s: str, limit: int) -> list[Segment]:
                 found.append((got[0], [i + m.start() for i in got[1]], [i + m.start() for i in got[2]]))
     escapes = found[:]
     for m in BASE64.finditer(s):
-        if not _plain(m[0]) and (t := _base64(m[0], limit)) is not None:
-            found.append((t, [m.start()] * len(t), [m.end()] * len(t)))
+        if m.end() - m.start() >= PROBE and not _plain(m[0]):
+            found += [(t, [m.start() + a] * len(t), [m.start() + b] * len(t)) for t, a, b in _base64(m[0], limit)]
     return found + spliced(s, escapes) + spliced(s, found[len(escapes) :])
 
 
@@ -184,6 +259,7 @@ def spliced(s: str, found: list[Segment]) -> list[Segment]:
 
 def _plain(s: str) -> bool:
     """A run of letters in one case, as in prose, is no base64 of readable text of that length."""
+    s = s.translate(JOINS)
     return s.isalpha() and (s.islower() or s[1:].islower() or s.isupper())
 
 

@@ -3,6 +3,7 @@ import hashlib
 import base64
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -200,6 +201,24 @@ def test_op3_escapes_keep_their_line():
         assert "nter22abc" not in secret_scan.redact(text) and secret_scan.redact(text).endswith(", and more\nlast")
 
 
+def test_op3_base64_of_both_alphabets_in_paths_and_over_lines():
+    r = random.Random(4)
+    for k in range(300):
+        plain = f"{sentence(r, r.randint(3, 25))} password=hunter22abc {sentence(r, r.randint(0, 25))}".encode()
+        data = [plain, zlib.compress(plain), gzip.compress(plain)][k % 3]
+        for enc in (base64.urlsafe_b64encode(data).decode(), base64.b64encode(data).decode()):
+            lines = [enc[i : i + 64] for i in range(0, len(enc), 64)]
+            for form in (enc, enc.rstrip("="), f"https://example.com/cb/{enc}", f"see-also_{enc}", f"x{enc}", "\n".join(lines), "\r\n  ".join(lines), "\\n".join(lines), f"{enc.rstrip('=')}\nand more"):
+                text = f"a {form} z"
+                every = secret_scan.all_spans(text)[1]
+                assert every, form
+                # The span is the whole encoded run, or its part up to where it is readable.
+                assert all(k == 0 and 2 <= a < b <= 2 + len(form) for a, b, k in every)
+    two = [base64.b64encode(zlib.compress(f"{w} password=hunter22abc".encode())).decode().rstrip("=") for w in ("one", "other")]
+    assert {(0, len(two[0]), 0), (len(two[0]) + 1, len("/".join(two)), 0)} <= set(secret_scan.all_spans("/".join(two))[1])
+    assert secret_scan.all_spans("a well-known-and-rather-long word/and/some/path/to/a/file_name_here")[1] == []
+
+
 def test_op4_equals_the_library(spark, docs, rows, none):
     import sentencepiece
 
