@@ -153,6 +153,16 @@ def test_op2_long_lines_link_by_their_length(spark):
     assert got == dict(enumerate(components(n, near)))
 
 
+def test_op2_short_lines_by_equality(spark, tmp_path):
+    texts = ["All rights reserved.\n\n \na", "All rights reserved.\nall rights reserved.", "b\n All rights reserved. \n\nb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x.doc_id, x.line_no): (x.first_doc, x.first_line, x.n_lines, x.kept) for x in line_dedup.op2_line_dedup(spark, str(tmp_path)).collect()}
+    first = (0, 0, 3)
+    assert got == {(0, 0): (*first, True), (0, 3): (0, 3, 1, True), (1, 0): (*first, False), (1, 1): (1, 1, 1, True), (2, 0): (2, 0, 2, True), (2, 1): (*first, False), (2, 3): (2, 0, 2, False)}
+    assert {x.doc_id: x.text for x in line_dedup.line_stage(spark, df, "").collect()} == {0: texts[0], 1: "all rights reserved.", 2: "b\n"}
+
+
 def test_line_stage_keeps_first_lines_and_columns(spark, docs, none):
     out = line_dedup.line_stage(spark, docs, "")
     assert out.columns == docs.columns
