@@ -7,8 +7,8 @@ it occurs carries a map from its code points to those of the layer around it. Fi
 places, so that every occurrence of a secret has a span in the original; base findings of layer 0 always stay.
 
 Defined cases: a null text is an empty one and has no spans; a repeated row is scanned again; escapes that
-decode to nothing readable are no layer. Growth is bounded by content: decoded bytes per document are limited to
-`MAX_EXPANSION` times its length plus a floor only for compressed layers (a decompression bomb is not text).
+decode to nothing readable are no layer. A packed layer of any size is read, all members of it, in blocks of `BLOCK`
+bytes that overlap by `OVERLAP`, one at a time; only a secret or an encoding longer than that may be cut.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ LINE_END = re.compile(WRAP)
 PROBE = 16
 JOINS = str.maketrans("", "", "-_/+")
 SAFE = str.maketrans("-_", "+/")
-MAX_EXPANSION, EXPANSION_FLOOR = 64, 1 << 20
+#: Bytes of a packed layer that are scanned at a time, and what a block has of the one before.
+BLOCK, OVERLAP = 1 << 20, 1 << 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -67,17 +68,46 @@ def _utf8(data: bytes) -> str | None:
     return s
 
 
-def _inflate(data: bytes, limit: int) -> tuple[bytes, int] | None:
-    """What is packed, and how many bytes of `data` that took."""
-    for head, bits in ((b"\x1f\x8b", 31), (b"x", 15)):
-        if data.startswith(head):
+def _inflate(data: bytes) -> Iterator[tuple[bytes, int]]:
+    """What is packed, in pieces of up to `BLOCK` bytes and member by member, with the bytes of `data` read so far; what
+    comes before a stream breaks off counts too."""
+    used = 0
+    while _packed(data[used : used + 2]):
+        d = zlib.decompressobj(31 if data[used] == 0x1F else 15)
+        rest = data[used:]
+        while not d.eof:
             try:
-                d = zlib.decompressobj(bits)
-                out = d.decompress(data, limit)
+                out = d.decompress(rest, BLOCK)
             except zlib.error:
-                return None
-            return (out, len(data) - len(d.unused_data)) if d.eof else None
-    return None
+                return
+            rest = d.unconsumed_tail
+            if not out and not rest and not d.eof:
+                return
+            used = len(data) - len(d.unused_data if d.eof else rest)
+            yield out, used
+
+
+def _blocks(pieces: Iterator[tuple[bytes, int]]) -> Iterator[tuple[bytes, int]]:
+    """Blocks of more than `BLOCK` bytes but for the last, each beginning with the `OVERLAP` bytes before it."""
+    held, fresh, used = bytearray(), 0, 0
+    for out, used in pieces:
+        held += out
+        fresh += len(out)
+        if fresh > BLOCK:
+            yield bytes(held), used
+            del held[:-OVERLAP]
+            fresh = 0
+    if fresh:
+        yield bytes(held), used
+
+
+def _kinds(block: bytes) -> set[int]:
+    """Kinds of the secrets in a part of a text, whose first and last characters may be cut."""
+    while block and block[0] & 0xC0 == 0x80:
+        block = block[1:]
+    t = block.decode("utf-8", "replace")
+    bad = t.count("\ufffd") + sum(not (c.isprintable() or c in "\t\r\n") for c in t)
+    return set() if bad * 20 > len(t) else {k for _, _, k in all_spans(t)[1]}
 
 
 def _percent(s: str) -> tuple[str, list[int], list[int]] | None:
@@ -148,8 +178,9 @@ def _packed(data: bytes) -> bool:
     return data[:2] == b"\x1f\x8b" or (data[:1] == b"x" and len(data) > 1 and int.from_bytes(data[:2], "big") % 31 == 0)
 
 
-def _base64(run: str, limit: int) -> list[tuple[str, int, int]]:
-    """What a run holds, as (content, start, end in the run). It may begin at the run's start, after a character that
+def _base64(run: str) -> list[tuple[str | set[int], int, int]]:
+    """What a run holds, as (content, start, end in the run); of what unpacks to more than a block the kinds of its
+    secrets only, as they all have the run's span. It may begin at the run's start, after a character that
     also joins words or paths, or at a line's start, and up to three characters later; it ends with the run, or where
     it is no longer readable."""
     at = None  # of each character without line ends, its place in the run
@@ -166,7 +197,7 @@ def _base64(run: str, limit: int) -> list[tuple[str, int, int]]:
         body = "".join(parts)
     starts.update(m.end() for m in re.finditer(r"[/_+-]", body))
     body = body.translate(SAFE)
-    out: list[tuple[str, int, int]] = []
+    out: list[tuple[str | set[int], int, int]] = []
     done = 0
     for place in sorted(starts):
         for a in range(place, place + 4):
@@ -179,8 +210,15 @@ def _base64(run: str, limit: int) -> list[tuple[str, int, int]]:
                 continue
             data = _decoded(body[a:])
             t, used, whole = None, len(data), False
-            if packed and (got := _inflate(data, limit)) is not None:
-                t, used = _utf8(got[0]), got[1]
+            blocks = _blocks(_inflate(data)) if packed else iter(())
+            if first := next(blocks, None):
+                if more := next(blocks, None):
+                    t = _kinds(first[0])
+                    while more:
+                        t |= _kinds(more[0])
+                        used, more = more[1], next(blocks, None)
+                else:
+                    t, used = _readable(first[0]), first[1]
                 whole = t is not None
             if t is None:
                 t = _readable(data)
@@ -208,9 +246,11 @@ def _start(head: bytes) -> str | None:
 Segment = tuple[str, list[int], list[int]]
 
 
-def segments(s: str, limit: int) -> list[Segment]:
-    """What is encoded in a layer: (content, start of each of its characters in `s`, end likewise)."""
+def segments(s: str) -> tuple[list[Segment], list[tuple[int, int, int]]]:
+    """What is encoded in a layer: (content, start of each of its characters in `s`, end likewise); and spans of the
+    secrets in packed content that is scanned in blocks."""
     found: list[Segment] = []
+    spans: list[tuple[int, int, int]] = []
     if "%" in s:
         for m in PERCENT.finditer(s):
             if got := _percent(m[0]):
@@ -223,8 +263,13 @@ def segments(s: str, limit: int) -> list[Segment]:
     escapes = found[:]
     for m in BASE64.finditer(s):
         if m.end() - m.start() >= PROBE and not _plain(m[0]):
-            found += [(t, [m.start() + a] * len(t), [m.start() + b] * len(t)) for t, a, b in _base64(m[0], limit)]
-    return found + spliced(s, escapes) + spliced(s, found[len(escapes) :])
+            for t, a, b in _base64(m[0]):
+                a, b = m.start() + a, m.start() + b
+                if isinstance(t, set):
+                    spans += [(a, b, k) for k in t]
+                else:
+                    found.append((t, [a] * len(t), [b] * len(t)))
+    return found + spliced(s, escapes) + spliced(s, found[len(escapes) :]), spans
 
 
 def spliced(s: str, found: list[Segment]) -> list[Segment]:
@@ -265,14 +310,16 @@ def _plain(s: str) -> bool:
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans: those of the base and those that decoded layers add, without repeats."""
-    limit = MAX_EXPANSION * len(text) + EXPANSION_FLOOR
     base = base_spans(text)
     spans = {text: set(base)}
     places: dict[str, list[tuple[str, list[int], list[int]]]] = {}  # of each content: the layer around it, and the map
     work, news = [text], []
     while work:
         s = work.pop()
-        for t, starts, ends in segments(s, limit):
+        found, packed = segments(s)
+        news += [(s, span) for span in set(packed) - spans[s]]
+        spans[s].update(packed)
+        for t, starts, ends in found:
             places.setdefault(t, []).append((s, starts, ends))
             if t not in spans:
                 spans[t] = set(base_spans(t))

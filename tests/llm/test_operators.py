@@ -229,6 +229,20 @@ def test_op3_base64_of_both_alphabets_in_paths_and_over_lines():
     assert secret_scan.all_spans("a well-known-and-rather-long word/and/some/path/to/a/file_name_here")[1] == []
 
 
+def test_op3_large_layers_and_members():
+    secret = b" password=hunter22abc "
+    big = b"all work and no play. " * 400_000
+    enc = lambda b: base64.b64encode(b).decode()
+    members = gzip.compress(b"first member") + gzip.compress(secret)
+    broken = zlib.compress(secret + bytes(random.Random(1).choices(b"abcdefgh ", k=4000)))[:-900]
+    for data in (zlib.compress(big + secret), gzip.compress(secret + big), gzip.compress(big + secret + big), gzip.compress(big + enc(secret).encode() + b" " + big), members, gzip.compress(big) + gzip.compress(secret), broken):
+        text = f"see {enc(data)} end"
+        assert secret_scan.all_spans(text)[1] == [(4, len(text) - 4, 0)]
+    edge = secret_scan.BLOCK - 12
+    assert secret_scan.all_spans(enc(zlib.compress(b"a " * (edge // 2) + secret + big)))[1]
+    assert secret_scan.all_spans(enc(zlib.compress(big)))[1] == []
+
+
 def test_op4_equals_the_library(spark, docs, rows, none):
     import sentencepiece
 
