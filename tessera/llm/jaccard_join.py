@@ -401,7 +401,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one of smallest id: five-word shingles, a similarity of 0.8 or more."""
-    found = jaccard_components(docs, words=5, percent=80)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group, the one of smallest (doc_id, row), a null doc_id last: five-word shingles, a similarity of 0.8
+    or more. Rows are numbered in a table of their own, so that a number means the same row in every pass."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    at = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("no"))
+    numbered = Written(docs.select(row.alias("_row"), at.alias("_at")), "numbered").df
+    found = jaccard_components(numbered.select("_at", F.col("_row.text").alias("_text")), key="_at", text="_text", words=5, percent=80)
+    gone = found.where("not (component_id <=> _at)").select(F.col("_at.no").alias("_no"))
+    return numbered.join(gone, F.col("_at.no") == F.col("_no"), "left_anti").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -355,6 +355,19 @@ def test_op8_against_all_pairs(spark, docs, rows, none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_jaccard_stage_keeps_one_row_of_each_group(spark):
+    r = random.Random(31)
+    a, b, c, d = (sentence(r, 60) for _ in range(4))
+    near = a.replace(a.split()[30], "changed", 1)
+    rows = [(5, a, "x"), (5, a, "y"), (2, near, "x"), (7, a, "x"), (7, b, "x"), (None, c, "x"), (None, c, "y"), (None, a, "x"), (3, d, "x"), (None, d, "x"), (4, None, "x"), (4, None, "x"), (None, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    got = jaccard_join.jaccard_stage(spark, df, "")
+    assert got.columns == df.columns
+    got = [tuple(x) for x in got.collect()]
+    assert Counter(x[:2] for x in got) == Counter([(2, near), (7, b), (None, c), (3, d), (4, None), (4, None), (None, "")])
+    assert (None, c, "x") in got
+
+
 def test_op9_packs_all(spark, docs, rows, none):
     from tokenizers import Tokenizer
     import zlib
