@@ -17,24 +17,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Powers:
+    """Powers of the base and of its inverse, as many as were asked for so far."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << (n - 1).bit_length()
+            for name, base in (("up", _BASE), ("down", _INVERSE)):
+                power = np.full(size, base, dtype=np.uint64)
+                power[0] = 1
+                setattr(self, name, np.multiply.accumulate(power))
+        up, down = self.up[:n], self.down[:n]
+        if n > _KEPT:
+            self.__init__()
+        return up, down
+
+
+#: Powers that are kept between batches.
+_KEPT = 1 << 21
+_POWERS = _Powers()
+_VALUES = mix(np.arange(1 << 14, dtype=np.uint64) + np.uint64(1))
+
+
 class Prefix:
     """Hash of any part of a sequence of symbols (bytes or code points) in constant time, at any place alike."""
 
     def __init__(self, symbols: np.ndarray) -> None:
         n = len(symbols)
-        power = np.full(n + 1, _BASE, dtype=np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        self.inverse = np.full(n + 1, _INVERSE, dtype=np.uint64)
-        self.inverse[0] = 1
-        self.inverse = np.multiply.accumulate(self.inverse)
+        power, self.inverse = _POWERS.get(n + 1)
         self.sum = np.zeros(n + 1, dtype=np.uint64)
-        values = mix(np.arange(256, dtype=np.uint64) + np.uint64(1))[symbols] if symbols.dtype == np.uint8 else mix(symbols.astype(np.uint64) + np.uint64(1))
+        known = n == 0 or symbols.dtype == np.uint8 or symbols.max() < len(_VALUES)
+        values = _VALUES[symbols] if known else mix(symbols.astype(np.uint64) + np.uint64(1))
         np.cumsum(values * power[:-1], out=self.sum[1:])
 
     def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sum[end] - self.sum[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
+    def grams(self, size: int) -> np.ndarray:
+        """part(i, i + size) at every place i."""
+        n = max(0, len(self.sum) - size)
+        return mix((self.sum[size:] - self.sum[:n]) * self.inverse[:n] + np.uint64(size))
+
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -108,6 +108,23 @@ def test_banded_distance():
             assert line_dedup.within(a, b, e) == (distance(a, b) <= e)
 
 
+def test_banded_words_against_the_table():
+    r = random.Random(6)
+    for t in line_dedup.BANDS:
+        a = ["".join(r.choice("abcd ") for _ in range(r.randint(2 * t, 150))) for _ in range(150)]
+        b = [list(s) for s in a]
+        for s in b:
+            for _ in range(r.randint(0, t + 3)):
+                s[r.randrange(len(s))] = r.choice(["", "z", "zq"])
+        pairs = [(x, "".join(y)) for x, y in zip(a, b, strict=True) if abs(len(x) - len("".join(y))) <= t]
+        got = line_dedup.banded(*map(list, zip(*pairs, strict=True)), t)
+        want = np.array([distance(x, y) for x, y in pairs])
+        assert ((got <= t) == (want <= t)).all() and (got[want <= t] == want[want <= t]).all()
+    lines = [sentence(r, r.randint(3, 200)) for _ in range(60)]
+    near = ["".join(c if r.random() > 0.04 else "z" for c in s) for s in lines]
+    assert line_dedup.near_lines(lines, near).tolist() == [distance(x, y) <= max(2, min(len(x), len(y)) // 20) for x, y in zip(lines, near, strict=True)]
+
+
 def test_op2_against_all_pairs(spark, none):
     r = random.Random(9)
     lines = [sentence(r, 7) for _ in range(60)]
