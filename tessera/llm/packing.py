@@ -4,8 +4,9 @@ Texts are encoded once; pieces (a long document is cut, the first piece taking t
 `size` tokens, so the corpus enters the plan only as a histogram of at most `size` counts, whatever its size.
 The plan follows the linear grouping scheme: large lengths are dealt, in descending order, into groups of equal
 cardinality and rounded up to the largest of their group; a column-generation linear program finds the
-configurations of those few sizes; actual lengths then take the places of the rounded ones; what the program's
-rounding leaves, and all small pieces, go best-fit (descending) into the room that is left. The plan is a list of
+configurations of those few sizes, each used as often as the program says, rounded down; actual lengths then take the
+places of the rounded ones; the few pieces that rounding down leaves, and all small pieces, go best-fit (descending)
+into the room that is left. What counts as large is tried in a few ways, and the plan of fewest sequences taken. The plan is a list of
 runs "pieces of length L with ranks r0.. go one by one into sequences s0.., at offset o"; pieces get their rank
 within their length by salted counts, so that one common length is no single task.
 
@@ -30,13 +31,13 @@ from pyspark.sql import functions as F
 from .common import Written, map_arrow, table
 
 SIZE = 2048
-#: Lengths over size // SMALL_PART are large.
-SMALL_PART = 4
+#: Lengths over size / part are large; the plan is made for each part, and the one of fewest sequences taken.
+PARTS = (2.5, 3.0, 4.0)
 GROUPS = 96
-#: Share of each configuration that is used; the other pieces go best-fit, which fills what rounding left empty.
-SHARE = 0.5
-#: Salts by which pieces of one length are ranked in parallel; the counts by length and salt stay under size * SALTS rows.
+#: Salts, at least, by which pieces of one length are ranked in parallel.
 SALTS = 64
+#: Counts by length and salt that are broadcast at most.
+BROADCAST_ROWS = SIZE * SALTS
 DEFAULT = "byte_bpe_50k.tiktoken"
 END, END_MARK = 50256, "<|endoftext|>"
 
@@ -135,8 +136,9 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, size: int, rounds: int
 class Plan:
     """Runs (length, r0, count, per sequence, first sequence, offset) for a histogram {length: count}."""
 
-    def __init__(self, histogram: dict[int, int], size: int = SIZE, groups: int = GROUPS) -> None:
+    def __init__(self, histogram: dict[int, int], size: int = SIZE, groups: int = GROUPS, part: float = PARTS[-1]) -> None:
         self.size = size
+        self.by_configuration = self.by_best_fit = 0  # large pieces
         self.left = {n: c for n, c in histogram.items() if c > 0}
         self.next_rank: dict[int, int] = defaultdict(int)
         self.runs: list[tuple[int, int, int, int, int, int]] = []
@@ -145,9 +147,12 @@ class Plan:
         self.rooms: list[int] = []
         if full := self.left.pop(size, 0):
             self.place(size, full, 1, self.open(full), 0)
-        large = sorted((n for n in self.left if n > size // SMALL_PART), reverse=True)
+        large = sorted((n for n in self.left if n > size / part), reverse=True)
         if large:
+            total = sum(self.left[n] for n in large)
             self.grouped(large, groups)
+            self.by_best_fit = sum(self.left[n] for n in large)
+            self.by_configuration = total - self.by_best_fit
         for n in sorted(self.left, reverse=True):
             self.best_fit(n, self.left[n])
         self.left = {}
@@ -195,7 +200,7 @@ class Plan:
         for use, x in sorted(configurations(sizes, demand, self.size), key=lambda p: -p[1]):
             use = use.astype(np.int64)
             held = np.flatnonzero(use)
-            m = min([int(SHARE * x + 1e-6), *(int(have[i] // use[i]) for i in held)])
+            m = min([int(x + 1e-6), *(int(have[i] // use[i]) for i in held)])
             if m > 0:
                 have[held] -= m * use[held]
                 self.substitute([i for i in held for _ in range(use[i])], queues, m)
@@ -253,27 +258,34 @@ class Plan:
         return tuple(runs.T)
 
 
-def pack(found: DataFrame, size: int = SIZE, salts: int = SALTS) -> DataFrame:
+def plan(histogram: dict[int, int], size: int = SIZE) -> Plan:
+    return min((Plan(dict(histogram), size, part=part) for part in PARTS), key=lambda p: p.n)
+
+
+def pack(found: DataFrame, size: int = SIZE, salts: int | None = None) -> DataFrame:
     """`found` (with `length`, and columns that tell pieces apart) with sequence_id and offset."""
     cols = found.columns
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
-    bases = counts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_base"))
+    salts = salts or max(SALTS, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt, rank, base, n = (next(c for k in range(len(cols) + 1) if (c := f"_{name}{k}") not in cols) for name in ("salt", "rank", "base", "n"))
+    salted = found.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("length", salt).agg(F.count("*").alias(n))
+    before = F.sum(n).over(Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("length", salt, F.coalesce(before, F.lit(0)).alias(base))
+    if size * salts <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
     histogram = {r[0]: r[1] for r in found.groupBy("length").agg(F.count("*")).collect()}  # at most `size` rows
-    runs = Plan(histogram, size).arrays()
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*[c for c in cols if c != "length"])) - 1
-    # At most size * salts rows, so the broadcast is bounded.
-    ranked = salted.withColumn("_rank", rank).join(F.broadcast(bases), ["length", "_salt"])
-    ranked = ranked.select(*cols, (F.col("_base") + F.col("_rank")).alias("_rank"))
+    runs = plan(histogram, size).arrays()
+    within = F.row_number().over(Window.partitionBy("length", salt).orderBy(*[F.col(f"`{c}`") for c in cols if c != "length"])) - 1
+    ranked = salted.withColumn(rank, within).join(bases, ["length", salt])
+    ranked = ranked.select(*[F.col(f"`{c}`") for c in cols], (F.col(base) + F.col(rank)).alias(rank))
 
     def run(batch: pa.RecordBatch) -> list:
         length, r0, _, per, first, offset = runs
         key = length << 42 | r0
         n = batch.column(batch.schema.names.index("length")).to_numpy()
-        rank = batch.column(batch.schema.names.index("_rank")).to_numpy()
-        at = np.searchsorted(key, n << 42 | rank, side="right") - 1
-        k = rank - r0[at]
+        place = batch.column(batch.num_columns - 1).to_numpy()
+        at = np.searchsorted(key, n << 42 | place, side="right") - 1
+        k = place - r0[at]
         return [*batch.columns[:-1], first[at] + k // per[at], offset[at] + k % per[at] * n]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
