@@ -100,18 +100,22 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     learn = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(
         "l is not null and t is not null and k is not null and crc32(cast(k as string)) % 3 <> 1"
     )
-    n = max(1, learn.select("l").distinct().count())
-    order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    # The window's limit is applied within partitions first; at most `sample` ids are broadcast.
-    ids = learn.select("k", "l").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, sample // n)).select("k").distinct()
+    counts = learn.groupBy("l").agg(F.count("*").alias("n"))
+    each = max(1, sample // max(1, counts.count()))
+    # Ids below a bound on their hash that some four times as many pass, so that no task reads more than those.
+    place = F.pmod(F.xxhash64("k"), F.lit(1 << 40))
+    near = learn.select("k", "l", place.alias("h")).join(counts, "l").where(F.col("h") < F.lit(4.0 * each * (1 << 40)) / F.col("n")).select("k", "l", "h").distinct()
+    order = Window.partitionBy("l").orderBy("h", "k")
+    ids = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("k", "l")
 
     def run(batch: pa.RecordBatch) -> list:
         texts = batch.column(0).to_pylist()
         rows = [features([t])[0] for t in texts]
         return [batch.column(1), [np.flatnonzero(r).tolist() for r in rows], [r[r != 0].tolist() for r in rows]]
 
-    rows = map_arrow(learn.join(F.broadcast(ids), "k", "left_semi").select("t", "l"), run, "l string, i array<int>, v array<float>").collect()
-    rows = rows[: 2 * sample]  # repeated ids cannot make the sample grow
+    # Of rows that share id and language, the one of least text: at most `sample` rows are broadcast, or come back.
+    chosen = learn.join(F.broadcast(ids), ["k", "l"], "left_semi").groupBy("k", "l").agg(F.min("t").alias("t")).orderBy("l", "k")
+    rows = map_arrow(chosen.select("t", "l"), run, "l string, i array<int>, v array<float>").collect()
     x = np.zeros((len(rows), DIMS), dtype=np.float32)
     for j, r in enumerate(rows):
         x[j, r.i] = r.v
