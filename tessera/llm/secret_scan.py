@@ -17,6 +17,8 @@ import binascii
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +34,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ of 24 characters or more
 ANY_KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
-PERCENT = re.compile(r"[A-Za-z0-9_.~+/=:;,?&@!*'()$#\[\]-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+/=:;,?&@!*'()$#\[\]-]*)+")
+#: Runs are taken whole, so that each character is looked at once, and decoded if an escape is in them.
+PERCENT = re.compile(r"[A-Za-z0-9_.~+/=:;,?&@!*'()$#\[\]%-]+")
+PERCENT_BYTE = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
 #: Characters of both alphabets; lines of 16 or more go on in the next line, also where the line end is written \n.
 WRAP = r"(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n)"
@@ -46,6 +50,9 @@ SAFE = str.maketrans("-_", "+/")
 BLOCK, OVERLAP = 1 << 20, 1 << 16
 
 
+Segment = tuple[str, list[int], list[int]]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind index) of the base findings."""
     out = []
@@ -110,29 +117,25 @@ def _kinds(block: bytes) -> set[int]:
     return set() if bad * 20 > len(t) else {k for _, _, k in all_spans(t)[1]}
 
 
-def _percent(s: str) -> tuple[str, list[int], list[int]] | None:
-    """Decoded text with, for each character, where its source begins and ends in `s`."""
-    data, at, i = bytearray(), [], 0
-    while i < len(s):
-        if s[i] == "%" and re.fullmatch(r"[0-9A-Fa-f]{2}", s[i + 1 : i + 3]):
-            data.append(int(s[i + 1 : i + 3], 16))
-            at.append((i, i + 3))
-            i += 3
-        else:
-            raw = s[i].encode("utf-8", "surrogatepass")
-            data += raw
-            at += [(i, i + 1)] * len(raw)
-            i += 1
-    text = _utf8(bytes(data))
-    if text is None:
-        return None
+def _percent(s: str) -> Segment:
+    """Decoded text with, for each character, where its source begins and ends in `s`; bytes that are no UTF-8 become one
+    mark each, and what is round them still counts."""
+    data, at, last = bytearray(), [], 0
+    for m in [*PERCENT_BYTE.finditer(s), None]:
+        end = m.start() if m else len(s)
+        data += s[last:end].encode()  # a run holds ASCII only
+        at += [(i, i + 1) for i in range(last, end)]
+        if m:
+            data.append(int(m[0][1:], 16))
+            at.append((end, last := m.end()))
+    text = bytes(data).decode("utf-8", "surrogateescape")
     starts, ends, k = [], [], 0
     for c in text:
-        n = len(c.encode())
+        n = len(c.encode("utf-8", "surrogateescape"))
         starts.append(at[k][0])
         ends.append(at[k + n - 1][1])
         k += n
-    return text, starts, ends
+    return "".join("\ufffd" if "\udc80" <= c <= "\udcff" else c for c in text), starts, ends
 
 
 def _escaped(s: str) -> tuple[str, list[int], list[int]]:
@@ -243,9 +246,6 @@ def _start(head: bytes) -> str | None:
     return t if sum(not (c.isprintable() or c in "\t\r\n") for c in t) <= 1 else None
 
 
-Segment = tuple[str, list[int], list[int]]
-
-
 def segments(s: str) -> tuple[list[Segment], list[tuple[int, int, int]]]:
     """What is encoded in a layer: (content, start of each of its characters in `s`, end likewise); and spans of the
     secrets in packed content that is scanned in blocks."""
@@ -253,7 +253,8 @@ def segments(s: str) -> tuple[list[Segment], list[tuple[int, int, int]]]:
     spans: list[tuple[int, int, int]] = []
     if "%" in s:
         for m in PERCENT.finditer(s):
-            if got := _percent(m[0]):
+            if PERCENT_BYTE.search(m[0]):
+                got = _percent(m[0])
                 found.append((got[0], [i + m.start() for i in got[1]], [i + m.start() for i in got[2]]))
     if ("\\" in s or "&#" in s) and ESCAPE.search(s):
         for m in re.finditer(r"\S+", s):
