@@ -10,7 +10,8 @@ links there, and the smallest id it reaches there; components follow from those
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite values, and rows without a label,
 link with nothing (their own component, kept; a null vec_id has no component and is not kept); vectors of different
-dimension never link; rows that share a vec_id are one node of the graph; ties go to the smaller vec_id.
+dimension never link; rows that repeat id, label and vector are one vector, in links as in components, each with its
+row in the result; ties go to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ TABLES, PROBES = 5, 3
 #: Classes per bucket that the number of hashes in a row aims at.
 PER_BUCKET = 8
 BLOCK = 2048
+#: Large buckets whose sizes are broadcast at most.
+HOT_ROWS = 100_000
 SEED = 20240607
 
 
@@ -231,7 +234,8 @@ def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Deals bucket rows to blocks: large buckets become pairs of chunks, each a block."""
     key = ["label", "d", "bucket"]
     hot = rows.groupBy(*key).agg(F.count("*").alias("m")).where(F.col("m") > block).select(*key, F.ceil(F.col("m") / block).cast("int").alias("parts"))
-    dealt = rows.join(hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    hot = Written(hot, "vector-hot").df
+    dealt = rows.join(F.broadcast(hot) if hot.count() <= HOT_ROWS else hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # Chunk c is in the blocks (c, j >= c) and (i < c, c).
     dealt = dealt.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -245,6 +249,8 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, tables: int = TABLES,
     spark = rows.sparkSession
     rows = rows.select("vec_id", "label", "embedding")
     good = rows.where(_valid())
+    if not good.groupBy("vec_id").count().where("count > 1").isEmpty():
+        good = good.dropDuplicates(["vec_id", "label", "embedding"])
     found = Written(classes(good), "vectors").df
     most = found.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     d = 2 * (found.agg(F.max(F.size("embedding"))).first()[0] or 2)
