@@ -19,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set."""
+    """The shared folder named by the cluster; a temporary one only where none is set and the session is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
         current = spark.sparkContext.getCheckpointDir()
     return str(current).rstrip("/")
@@ -103,6 +105,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         open_ = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out > 0 and in > 0)")
         if open_.isEmpty():
             break
+    else:
+        raise RuntimeError("components did not settle")
     # Star graphs remain: each node points at its component's smallest node.
     stars = now.df
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

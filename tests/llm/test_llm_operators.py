@@ -78,6 +78,9 @@ def test_op1_against_all_pairs(spark):
     for i in range(201, 207):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert len(got) == len(rows)
+    # Rows that repeat are one vector.
+    some = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [1.0, 0.01], 0), (3, [1.0, 0.01], 0)], "vec_id long, embedding array<float>, label int")
+    assert sorted(tuple(x) for x in near_vectors.near_vectors(some).collect()) == [(1, 2, 1, True)] * 2 + [(2, 2, 1, False)] + [(3, 2, 1, False)] * 2
     # Large buckets are dealt as pairs of chunks: nothing counts twice.
     old, near_vectors.BLOCK = near_vectors.BLOCK, 4
     try:
@@ -246,6 +249,49 @@ def test_op3_base64_of_both_alphabets_in_paths_and_over_lines():
     assert secret_scan.all_spans("a well-known-and-rather-long word/and/some/path/to/a/file_name_here")[1] == []
 
 
+def test_op3_partly_decodable_escapes():
+    for enc in ("x%ffpass%77ord%3Dhunter22abc", "%80%80pass%77ord%3Dhunter22abc%fe", "100%pass%77ord%3Dhunter22abc%"):
+        every = secret_scan.all_spans(f"é {enc} z")[1]
+        assert len(every) == 1 and every[0][0] >= 2 and "hunter22" not in secret_scan.redact(f"é {enc} z")
+
+
+def test_op3_random_nestings_with_repeats():
+    r = random.Random(17)
+    layers = [
+        lambda t: base64.b64encode(t.encode()).decode(),
+        lambda t: base64.urlsafe_b64encode(gzip.compress(t.encode())).decode(),
+        lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
+        lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+        lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    ]
+    for _ in range(150):
+        made = []
+        for _ in range(r.randint(1, 3)):
+            enc = f"password=hunter{r.randint(10, 99)}abc"
+            for _ in range(r.randint(1, 4)):
+                enc = r.choice(layers)(enc)
+            made.append(enc)
+        parts = [w for _ in range(r.randint(1, 3)) for e in made for w in (sentence(r, 4), e)]
+        text, places, at = " ".join(parts), [], 0
+        for w in parts:
+            if w in made:
+                places.append((at, at + len(w)))
+            at += len(w) + 1
+        every = secret_scan.all_spans(text)[1]
+        assert {(max(p for p in places if p[0] <= a)) for a, _, _ in every} == set(places)
+        assert all(any(p[0] <= a < b <= p[1] for p in places) for a, b, _ in every)
+        assert all(e not in secret_scan.redact(text) for e in made)
+
+
+def test_op3_long_texts_take_linear_time():
+    import time
+
+    for t in (("abc/def-ghi_" * 80000) + "%41%zz", "a%20b" * 150000, "%41" * 250000, "token" + " " * 1000000, ("Zm9v" * 20 + "\n") * 12000, "\\u0041bc " * 60000):
+        began = time.process_time()
+        secret_scan.all_spans(t)
+        assert time.process_time() - began < 20
+
+
 def test_op3_large_layers_and_members():
     secret = b" password=hunter22abc "
     big = b"all work and no play. " * 400_000
@@ -410,10 +456,34 @@ def test_op9_packs_all(spark, docs, rows, none):
     assert packing.packing_stage(spark, none, "").count() == 0
 
 
+def test_op9_ids_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.encoder(P.path(packing.DEFAULT))
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdeéΣς'sSt 1²!?.\n\t<|>日本😀   ▁\r\x00\u200b") for _ in range(r.randint(0, 60))) for _ in range(600)]
+    texts += ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", " <|endoftext|> ", "<|endoftext", "x" * 5000, " " * 3000, "\n" * 500, "I'LL we'll 'S 123456789 ٣٤"]
+    assert [packing.encode(enc, t).tolist() for t in texts] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_op9_many_salts_and_clashing_names(spark):
+    rows = [(i, i % 7, 0, 1 + i * i % 2047, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, _salt0 int, _rank0 int, length long, _n0 long").repartition(5)
+    got = packing.pack(df, salts=200).collect()
+    assert sorted(tuple(x)[:5] for x in got) == rows
+    seqs = {}
+    for x in got:
+        seqs.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for places in seqs.values():
+        places.sort()
+        assert all(o == sum(n for _, n in places[:k]) for k, (o, _) in enumerate(places)) and sum(n for _, n in places) <= 2048
+
+
 def test_plan_is_tight():
     r = random.Random(3)
     h = Counter(r.randint(20, 2047) for _ in range(30000))
-    plan = packing.Plan(h)
+    plan = packing.plan(h)
+    assert plan.by_best_fit < 100 < plan.by_configuration  # large pieces go by the program's configurations
     used = Counter()
     for length, _, count, *_ in plan.runs:
         used[length] += count
@@ -428,6 +498,11 @@ def test_op10_learns_and_names(spark, none, sf_dir):
     model = language_id.fit(language_id.features(["abc abc", "xyz xyz"]), ["a", "b"])
     assert model.predict([None, "", "123 !", "abc abc abc"])[0] == ["und", "und", "und", "a"]
     assert language_id.identify(none, language_id.train(none)).count() == 0
+    # Rows that repeat an id cannot make the sample grow, and give the same model in any order.
+    rows = [(k % 40, ("abc abc " if k % 2 else "xyz xyz ") + "q" * (k // 80), "a" if k % 2 else "b") for k in range(4000)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (language_id.train(many.repartition(n), sample=20) for n in (1, 5))
+    assert one.langs == ["a", "b"] and (one.weights == two.weights).all()
 
 
 def test_pipeline_stages_in_order(spark):
