@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,13 +33,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return str(current).rstrip("/")
 
 
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs in here go when it ends, as its result is written or small."""
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE, before)
+
+
 class Written:
     """A table written once to the shared folder; reading it again never recomputes its inputs."""
 
     def __init__(self, df: DataFrame, tag: str) -> None:
         self.spark = df.sparkSession
         self.path = f"{checkpoint_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        with released(self.spark):
+            df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -103,7 +119,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = now.df
         ends = e.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(e.select("v", F.lit(0), F.lit(1)))
         open_ = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out > 0 and in > 0)")
-        if open_.isEmpty():
+        with released(e.sparkSession):
+            settled = open_.isEmpty()
+        if settled:
             break
     else:
         raise RuntimeError("components did not settle")
