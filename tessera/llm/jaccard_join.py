@@ -360,14 +360,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     posted = postings(docs, text, words, percent, sketch).repartition(n, "token").sortWithinPartitions("token", "size", "sig")
     first = Written(first_pairs(posted, percent), "pairs")
     pairs = Written(first.df.where("kind = 0").select("a", "b").distinct(), "pairs")
-    counts = Written(distinct_sides(of.where("n_shingles > 0").select("sig", "data")), "counts").df
-    passed = Written(near_enough(pairs.df, counts, percent), "passed").df
+    held = [first, pairs]  # tables of which the result does not depend
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        held.append(Written(df, tag))
+        return held[-1].df
+
+    counts = keep(distinct_sides(of.where("n_shingles > 0").select("sig", "data")), "counts")
+    passed = keep(near_enough(pairs.df, counts, percent), "passed")
     # Members of large lists may be compared in later rounds, so their sets are made now as well.
     listed = first.df.where("kind = 1").select(F.col("b").alias("a"), "b")
     bloom = spark.sparkContext.broadcast(needed_filter(passed.union(listed)))
-    sets = Written(distinct_sides(sets_of(docs, text, words, bloom)), "sets").df
-    links = Written(linked(passed, sets, percent), "links").df
-    parts = Written(connected_components(links), "parts").df
+    sets = keep(distinct_sides(sets_of(docs, text, words, bloom)), "sets")
+    links = keep(linked(passed, sets, percent), "links")
+    parts = keep(connected_components(links), "parts")
     # Large lists again, by what is connected now, with ever more members that others are compared with, until the pairs
     # between components are few, or all members are; these are all verified.
     rest = first.df.where("kind = 1").select(F.col("a").alias("token"), F.col("size_a").alias("size"), F.col("b").alias("sig"), "pos")
@@ -381,9 +387,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         last = left <= max(FEW, 2 * rows) or heads >= longest
         if not left:
             break
-        more = Written(cross_pairs(now, percent, longest if last else heads).distinct().join(known, ["a", "b"], "left_anti"), "pairs").df
-        links = Written(links.union(linked(near_enough(more, counts, percent), sets, percent)), "links").df
-        parts = Written(connected_components(links), "parts").df
+        more = keep(cross_pairs(now, percent, longest if last else heads).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
+        links = keep(links.union(linked(near_enough(more, counts, percent), sets, percent)), "links")
+        parts = keep(connected_components(links), "parts")
         known = known.union(more)
         if last:
             break
@@ -391,7 +397,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     low = of.where("n_shingles > 0").groupBy("sig").agg(F.min(key).alias("low")).join(parts.withColumnRenamed("node", "sig"), "sig", "left")
     low = low.withColumn("component", F.coalesce("component", "sig"))
     least = low.groupBy("component").agg(F.min("low").alias("component_id"))
-    label = low.join(least, "component").select("sig", "component_id")
+    label = Written(low.join(least, "component").select("sig", "component_id"), "labels").df
+    for done in held:
+        done.drop()
     empty = of.where("n_shingles = 0").select(key, "n_shingles", F.col(key).alias("component_id"))
     return of.where("n_shingles > 0").join(label, "sig", "left").select(key, "n_shingles", "component_id").union(empty)
 
