@@ -318,9 +318,7 @@ def test_op4_equals_the_library(spark, docs, rows, none):
     assert ids == sp.encode(texts)
     assert [p.decode(x) for x in ids] == sp.decode(ids)
     big = " ".join(t or "" for _, t, *_ in rows)
-    parts = piece_coding.cuts(big, 500)
-    assert "".join(parts) == big and len(parts) > 5
-    assert [x for i, c in enumerate(parts) for x in p.encode([piece_coding.normal(c, i == 0)])[0]] == sp.encode(big)
+    assert p.encode([piece_coding.normal(big)])[0] == sp.encode(big)
     want = sorted((x[0] is not None, x[0] or 0, len(sp.encode(x[1] or ""))) for x in rows)
     for chunk in (piece_coding.CHUNK, 200):
         got = piece_coding.digests(docs, chunk=chunk).collect()
@@ -329,6 +327,38 @@ def test_op4_equals_the_library(spark, docs, rows, none):
     assert piece_coding.digests(none).count() == 0
 
 
+def test_op4_chunks_cut_anywhere(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path(piece_coding.DEFAULT))
+    r = random.Random(23)
+    texts = ["".join(r.choice("日本語中文字一二三四五六七八九十人大小") for _ in range(30000)), "a" * 9000, " " * 4000, "日" * 700 + " ab. " + "ethaioning" * 700]
+    texts += [" ".join(sentence(r, 15) for _ in range(60)), "é▁ü" * 900 + "\n\n" * 300 + "x.y,z" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk in (251, 4000):
+        rows = piece_coding.encode(df, chunk=chunk).collect()
+        for i, t in enumerate(texts):
+            parts = sorted((x for x in rows if x.doc_id == i), key=lambda x: x.chunk)
+            assert [y for x in parts for y in x.ids] == sp.encode(t)
+            assert len(parts) == (-(-(len(t) + 1) // chunk) if len(t) > chunk else 1) and "".join(x.source for x in parts) == t.replace("▁", " " if len(t) > chunk else "▁")
+        got = {x.doc_id: x for x in piece_coding.digests(df, chunk=chunk).collect()}
+        for i, t in enumerate(texts):
+            assert got[i].n_tokens == len(sp.encode(t)) and got[i].ids_crc32 == zlib.crc32(np.array(sp.encode(t), dtype="<u4").tobytes())
+
+
+def test_op4_forgets_and_remembers(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path(piece_coding.DEFAULT))
+    monkeypatch.setattr(piece_coding, "ARENA", 300)
+    monkeypatch.setattr(piece_coding, "PART_SLOTS", 5)
+    monkeypatch.setattr(piece_coding, "TOGETHER", 400)
+    p = piece_coding.Pieces(P.path(piece_coding.DEFAULT))
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["apple", "pear", "日本", word(r)]) for _ in range(r.randint(0, 30))) for _ in range(300)]
+    assert p.encode([piece_coding.normal(t) for t in texts]) == sp.encode(texts)
+
+
 def test_op5_reads_back(spark):
     r = random.Random(2)
     odd = "<|im_end|><|im_start|>assistant \\n \\ <| <\\|"
