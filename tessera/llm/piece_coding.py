@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, map_arrow, table
+from .common import Written, map_arrow, table, to_arrow
 from .hashing import Prefix, mix
 
 DEFAULT = "piece_bpe_32k.model"
@@ -509,48 +510,61 @@ def routed(dealt: DataFrame, chunk: int, load) -> DataFrame:  # noqa: ANN001
     return dealt.join(ways, ["row", "chunk"])
 
 
-def coded(docs: DataFrame, key: str, text: str, model: str | None, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """(key, row, chunk, n_chunks, source, ids, same) of texts of one chunk, and of the chunks of others: `source` is the text
-    that the ids are, `same` whether they decode to it."""
+def _binary(ids: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Ids of each row as little-endian unsigned 32 bits."""
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((4 * edge).astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+
+
+def coded(docs: DataFrame, key: str, text: str, model: str | None, chunk: int, digest: bool) -> tuple[DataFrame, DataFrame]:
+    """(key, row, chunk, n_chunks) of texts of one chunk, and of the chunks of others, and for digests (n_tokens, ids as
+    binary, same), else (source, ids): `source` is the text that the ids are, `same` whether they decode to it."""
     kind = docs.schema[key].dataType.simpleString()
-    fields = f"{key} {kind}, row long, chunk int, n_chunks int, source string, ids array<int>, same boolean"
+    fields = f"{key} {kind}, row long, chunk int, n_chunks int, " + ("n_tokens long, ids binary, same boolean" if digest else "source string, ids array<int>")
+    out = to_arrow(docs.sparkSession, fields)
 
     def load() -> Pieces:
         return pieces(model or public_tokenizers.path(DEFAULT))
 
-    def run(batch: pa.RecordBatch, p: Pieces) -> list:
-        ids, counts, same = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        for part in batches(batch.column(2).to_pylist()):
-            said = [normal(t) for t in part]
-            size = np.fromiter(map(len, said), dtype=np.int64, count=len(said))
-            points = points_of("".join(said))
-            got, n = p.pieces(points, size)
-            ids.append(got)
-            counts.append(n)
-            same.append(p.spells(got, n, points, size) & np.array([MARK not in t for t in part], dtype=bool))
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate(counts))], pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-        rows = batch.num_rows
-        return [batch.column(0), batch.column(1), np.zeros(rows, np.int32), np.ones(rows, np.int32), batch.column(2), lists, np.concatenate(same)]
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = load()
+        for batch in stream:
+            at = 0
+            for part in batches(batch.column(2).to_pylist()):
+                rows = batch.slice(at, len(part))
+                at += len(part)
+                said = [normal(t) for t in part]
+                size = np.fromiter(map(len, said), dtype=np.int64, count=len(said))
+                points = points_of("".join(said))
+                ids, n = p.pieces(points, size)
+                edge = np.r_[0, np.cumsum(n)]
+                cols = [rows.column(0), rows.column(1), pa.array(np.zeros(len(part), np.int32)), pa.array(np.ones(len(part), np.int32))]
+                if digest:
+                    same = p.spells(ids, n, points, size) & np.array([MARK not in t for t in part], dtype=bool)
+                    cols += [pa.array(n), _binary(ids, edge), pa.array(same)]
+                else:
+                    cols += [rows.column(2), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
     def trace(batch: pa.RecordBatch, p: Pieces) -> list:
-        out: list[list] = [[], [], []]
+        cols: list[list] = [[], [], []] if digest else [[], []]
         for r in batch.to_pylist():
             got, said = _chunk(p, r, chunk).ids(tuple(r["entry"]), tuple(r["leave"]))
             ids, plain = got.tolist(), said.replace(MARK, " ")
             plain = plain[1:] if r["chunk"] == 0 else plain
-            for c, v in zip(out, (plain, ids, p.decode(ids, r["chunk"] == 0) == plain), strict=True):
+            same = digest and p.decode(ids, r["chunk"] == 0) == plain
+            for c, v in zip(cols, (len(ids), got.astype("<u4").tobytes(), same) if digest else (plain, ids), strict=True):
                 c.append(v)
         at = batch.schema.names.index
-        return [batch.column(at(key)), batch.column(at("row")), batch.column(at("chunk")), batch.column(at("n_chunks")), *out]
+        return [batch.column(at(key)), batch.column(at("row")), batch.column(at("chunk")), batch.column(at("n_chunks")), *cols]
 
     whole, dealt = chunks(docs, key, text, chunk)
-    return map_arrow(whole, run, fields, load), map_arrow(routed(dealt, chunk, load), trace, fields, load)
+    return whole.mapInArrow(run, fields), map_arrow(routed(dealt, chunk, load), trace, fields, load)
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """(key, row, chunk, n_chunks, source, ids): one row per chunk, `source` being the text that its ids are."""
-    whole, dealt = coded(docs, key, text, model, chunk)
-    return whole.unionByName(dealt).drop("same")
+    whole, dealt = coded(docs, key, text, model, chunk, False)
+    return whole.unionByName(dealt)
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -567,21 +581,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """(key, n_tokens, ids_crc32, round_trip) per row; the chunks of a giant text are coded apart and put together."""
-    packed = {"n_tokens": "n_tokens long", "ids": "ids binary"}
-
-    def pack(found: DataFrame) -> DataFrame:
-        kind = docs.schema[key].dataType.simpleString()
-
-        def run(batch: pa.RecordBatch) -> list:
-            ids = batch.column(5)
-            edge = ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            data = pa.py_buffer(ids.flatten().to_numpy().astype("<u4").tobytes())
-            binary = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((4 * edge).astype(np.int32).tobytes()), data])
-            return [*batch.columns[:4], np.diff(edge), binary, batch.column(6)]
-
-        return map_arrow(found, run, f"{key} {kind}, row long, chunk int, n_chunks int, {', '.join(packed.values())}, same boolean")
-
-    whole, dealt = map(pack, coded(docs, key, text, model, chunk))
+    whole, dealt = coded(docs, key, text, model, chunk, True)
     small = whole.select(key, "n_tokens", F.crc32("ids").alias("ids_crc32"), F.col("same").alias("round_trip"))
     # A group is the chunks of one text, no larger than the text itself.
     parts = dealt.groupBy("row", key).agg(
