@@ -203,15 +203,76 @@ def family_of_space_group(n: Column) -> Column:
 
 
 def rationalize(x: Column, y: Column, z: Column, top: int = 12) -> Column:
-    """Smallest-angle integer direction with entries up to `top`; of equal angles, the first scale wins."""
+    """(hkl, deviation): the integer direction of entries up to `top`, without a common factor, nearest to a direction, and the
+    angle to it in degrees. Scales 1 to `top` are tried in turn, and a later one must be nearer by more than 1e-8 degrees or, as
+    near, have a smaller largest entry. (0, 0, 0) and null for a zero vector."""
     v = F.array(x, y, z)
     size = F.sqrt(x * x + y * y + z * z)
-    biggest = F.greatest(F.abs(x), F.abs(y), F.abs(z))
+    biggest = F.nullif(F.greatest(F.abs(x), F.abs(y), F.abs(z)), F.lit(0.0))
 
     def scaled(k: Column) -> Column:
-        ints = F.transform(v, lambda c: F.rint(c / biggest * k))
-        norm = F.sqrt(F.aggregate(ints, F.lit(0.0), lambda a, c: a + c * c))
-        cosine = F.aggregate(F.zip_with(ints, v, lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c) / (norm * size)
-        return F.struct((-F.round(cosine, 9)).alias("miss"), k.alias("k"), F.transform(ints, lambda c: c.cast("int")).alias("hkl"))
+        ints = F.transform(v, lambda c: F.rint(c / biggest * k).cast("int"))
+        return let(ints, lambda n: F.struct(n.alias("n"), _common(n).alias("g")))
 
-    return F.array_min(F.transform(F.sequence(F.lit(1), F.lit(top)), scaled)).hkl
+    def judged(s: Column) -> Column:
+        hkl = F.transform(s.n, lambda c: (c / s.g).cast("int"))
+
+        def angle(n: Column) -> Column:
+            dot = F.aggregate(F.zip_with(n, v, lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
+            norm = F.sqrt(F.aggregate(n, F.lit(0.0), lambda a, c: a + c * c))
+            miss = F.degrees(F.acos(F.least(F.lit(1.0), dot / (norm * size))))
+            return F.struct(n.alias("hkl"), miss.alias("deviation"), F.array_max(F.transform(n, lambda c: F.abs(c))).alias("most"))
+
+        return let(hkl, angle)
+
+    tried = F.transform(F.sequence(F.lit(1), F.lit(top)), lambda k: let(scaled(k), judged))
+
+    def better(best: Column, one: Column) -> Column:
+        near = one.deviation < best.deviation - F.lit(1e-8)
+        same = (F.abs(one.deviation - best.deviation) <= F.lit(1e-8)) & (one.most < best.most)
+        return F.when(near | same, one).otherwise(best)
+
+    found = let(tried, lambda t: F.aggregate(F.slice(t, 2, top), F.get(t, F.lit(0)), better))
+    none = F.struct(F.array(F.lit(0), F.lit(0), F.lit(0)).alias("hkl"), F.lit(None).cast("double").alias("deviation"))
+    return F.when(biggest.isNull(), none).otherwise(let(found, lambda b: F.struct(b.hkl.alias("hkl"), b.deviation.alias("deviation"))))
+
+
+def _common(n: Column) -> Column:
+    """Greatest common divisor of the entries, up to 12."""
+    fits = F.filter(F.sequence(F.lit(12), F.lit(1), F.lit(-1)), lambda g: F.forall(n, lambda c: c % g == 0))
+    return F.get(fits, F.lit(0))
+
+
+def normalized(q: Column) -> Column:
+    """Of length 1; null for a zero quaternion."""
+    size = F.nullif(F.sqrt(q.w * q.w + q.x * q.x + q.y * q.y + q.z * q.z), F.lit(0.0))
+    return F.when(size.isNotNull(), quat(q.w / size, q.x / size, q.y / size, q.z / size))
+
+
+def mat_vec(m: tuple[tuple[float, ...], ...], v: list[Column]) -> list[Column]:
+    return [F.lit(r[0]) * v[0] + F.lit(r[1]) * v[1] + F.lit(r[2]) * v[2] for r in m]
+
+
+def plane_indices(n: list[Column], cell: tuple[tuple[float, ...], ...], top: int = 12) -> Column:
+    """Plane of a normal in the crystal's frame: components along the lattice vectors (columns of `cell`)."""
+    return rationalize(*mat_vec(tuple(zip(*cell, strict=True)), n), top)
+
+
+def direction_indices(d: list[Column], inverse: tuple[tuple[float, ...], ...], top: int = 12) -> Column:
+    """Direction in the crystal's frame, in lattice vectors; `inverse` is the inverse of the cell."""
+    return rationalize(*mat_vec(inverse, d), top)
+
+
+def two_sided(p: Column, q: Column, symmetry: Column) -> Column:
+    """(angle, x, y, z): smallest rotation between two orientations over symmetry on both sides and exchange of the two, axis in
+    the crystal's frame; of equal angles (to 1e-9 degrees) the first in order of exchange, left and right operation."""
+
+    def all_of(m: Column) -> Column:
+        def both(base: Column) -> Column:
+            return F.flatten(F.transform(symmetry, lambda a: let(quat_mul(a, base), lambda am: F.transform(symmetry, lambda b: quat_mul(am, b)))))
+
+        return F.concat(both(m), let(quat_conj(m), both))
+
+    turns = let(quat_mul(quat_conj(p), q), all_of)
+    best = let(turns, lambda t: let(F.array_max(F.transform(t, lambda m: F.abs(m.w))), lambda w: F.get(F.filter(t, lambda m: F.abs(m.w) >= w - F.lit(1e-12)), F.lit(0))))
+    return let(best, axis_angle)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +50,18 @@ def warped(points: DataFrame, cells: DataFrame, field: DataFrame, n: int, box: f
 def perturbed(points: DataFrame, cells: DataFrame, field: DataFrame, n: int, box: float, amplitude: float, colors: int) -> DataFrame:
     """Assignment by distance less amplitude times the field of the cell's color (`field`: e0, e1, ...; `cells`: color)."""
     names = [f"e{k}" for k in range(colors)]
-    at = interpolate(points, field, n, box, names).withColumn("_e", F.array(*names)).drop(*names)
-    less = lambda dx, dy, dz, s: F.sqrt(G.square_distance(dx, dy, dz)) - F.lit(amplitude) * F.get("_e", s.color)
-    return A.assign(at, cells, box, less).drop("_e")
+    at = interpolate(points, field, n, box, names)
+
+    def less(dx, dy, dz, s, p):  # noqa: ANN001, ANN202
+        noise = np.concatenate([p[c] for c in names], axis=1)
+        return np.sqrt(dx * dx + dy * dy + dz * dz) - amplitude * noise[:, s["color"].astype(int)]
+
+    return A.assign(at, cells, box, less, tuple(names)).drop(*names)
 
 
 def shell(points: DataFrame, cells: DataFrame, box: float, width: float) -> DataFrame:
     """Points whose margin to the runner-up is at most `width` (inclusive)."""
-    plain = lambda dx, dy, dz, s: F.sqrt(G.square_distance(dx, dy, dz))
-    return A.margin(points, cells, box, plain).where(F.col("margin") <= F.lit(width))
+    return A.margin(points, cells, box, A.distance).where(F.col("margin") <= F.lit(width))
 
 
 def lookup(points: DataFrame, voxels: DataFrame, n: int, box: float) -> DataFrame:

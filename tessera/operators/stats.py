@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clipped_bin(x: Column, low: float, width: float, bins: int) -> Column:
-    """Bin of x; what lies outside goes to the end bins."""
-    return F.least(F.greatest(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(0)), F.lit(bins - 1)).cast("int")
+    """Bin of x; what lies outside goes to the end bins; null where x is no number."""
+    return F.when(~F.isnan(x), F.least(F.greatest(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(0)), F.lit(bins - 1))).cast("int")
 
 
 def closed_bin(x: Column, low: float, width: float, bins: int) -> Column:
@@ -18,11 +18,11 @@ def closed_bin(x: Column, low: float, width: float, bins: int) -> Column:
 
 
 def masses(df: DataFrame, bin_: Column, weight: Column, bins: int) -> DataFrame:
-    """(bin, mass), masses summing to 1, empty bins included."""
+    """(bin, mass), masses summing to 1, empty bins included; null masses where the total weight is 0 or there are no rows."""
     spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     got = df.where(bin_.isNotNull()).groupBy(bin_.alias("bin")).agg(F.sum(weight).alias("w"))
     total = got.agg(F.sum("w").alias("t"))
-    return spine.join(got, "bin", "left").crossJoin(F.broadcast(total)).select("bin", (F.coalesce("w", F.lit(0.0)) / F.col("t")).alias("mass"))
+    return spine.join(got, "bin", "left").crossJoin(F.broadcast(total)).select("bin", F.try_divide(F.coalesce("w", F.lit(0.0)), F.col("t")).alias("mass"))
 
 
 def chi_square_distance(p: DataFrame, q: DataFrame) -> DataFrame:
@@ -42,12 +42,13 @@ def size_summary(x: Column, lognormal: bool = True) -> list[Column]:
 
 
 def weighted_mean(v: Column, w: Column) -> Column:
-    return F.sum(v * w) / F.sum(w)
+    """Null where the weights sum to 0."""
+    return F.try_divide(F.sum(v * w), F.sum(w))
 
 
 def effective_size(w: Column) -> Column:
-    """Kish's effective sample size."""
-    return F.pow(F.sum(w), F.lit(2.0)) / F.sum(w * w)
+    """Kish's effective sample size; null where all weights are 0."""
+    return F.try_divide(F.pow(F.sum(w), F.lit(2.0)), F.sum(w * w))
 
 
 def normal_cdf(z: Column) -> Column:

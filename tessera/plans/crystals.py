@@ -59,8 +59,8 @@ def assign_perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SHELL = (
-    f"WITH {POINTS}, {SEEDS}, {OFFSETS}, r AS (SELECT id, grain, sqrt({EUCLID}) AS d, row_number() OVER (PARTITION BY id ORDER BY sqrt({EUCLID}), grain) AS n FROM offs),"
-    " mg AS (SELECT a.id, a.grain, (b.d - a.d)/2 AS margin FROM r a JOIN r b ON a.id=b.id AND a.n=1 AND b.n=2)"
+    f"WITH {POINTS}, {SEEDS}, {OFFSETS}, r AS (SELECT id, arg_min(grain, (sqrt({EUCLID}), grain)) AS grain, min(sqrt({EUCLID}), 2) AS two FROM offs GROUP BY id),"
+    " mg AS (SELECT id, grain, (two[2] - two[1])/2 AS margin FROM r)"
 )
 
 
@@ -88,12 +88,7 @@ def _lloyd_sql(steps: int) -> str:
     return out + f" SELECT grain, round(sx, 6) AS sx, round(sy, 6) AS sy, round(sz, 6) AS sz FROM s{steps}"
 
 
-def _shared(spark: SparkSession) -> None:
-    """A folder for checkpoints where the session names none (a local run)."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+_shared = T.shared
 
 
 @query(_lloyd_sql(2))
@@ -184,8 +179,7 @@ _SITES = (
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = lambda dx, dy, dz, s: F.sqrt(G.square_distance(dx, dy, dz))
-    m = A.margin(T.points(spark, sf_dir), T.seeds(spark, sf_dir), BOX, plain).withColumn("shell", F.col("margin") <= F.lit(SHELL))
+    m = A.margin(T.points(spark, sf_dir), T.seeds(spark, sf_dir), BOX, A.distance).withColumn("shell", F.col("margin") <= F.lit(SHELL))
     n = m.agg(F.count_if("shell").alias("s"), F.count_if(~F.col("shell")).alias("b")).first()  # two counts
     bulk, shell = doping.probabilities(doping.target_count(_SHARE, n.s + n.b), n.s, n.b, _ENRICH)
     draw = (F.col("id") * 48271 + 11) % 99991 / F.lit(99991.0)

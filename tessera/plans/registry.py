@@ -81,8 +81,8 @@ for _name, _measure, _sql in (
 
 
 @query(
-    f"WITH {POINTS}, {SEEDS}, {OFFSETS}, r AS (SELECT id, grain, {ADDITIVE} AS d, row_number() OVER (PARTITION BY id ORDER BY {ADDITIVE}, grain) AS n FROM offs)"
-    " SELECT a.id, a.grain, round((b.d - a.d)/2, 6) AS margin FROM r a JOIN r b ON a.id=b.id AND a.n=1 AND b.n=2"
+    f"WITH {POINTS}, {SEEDS}, {OFFSETS}, r AS (SELECT id, arg_min(grain, ({ADDITIVE}, grain)) AS grain, min({ADDITIVE}, 2) AS two FROM offs GROUP BY id)"
+    " SELECT id, grain, round((two[2] - two[1])/2, 6) AS margin FROM r"
 )
 def runner_up_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = A.margin(T.points(spark, sf_dir), T.seeds(spark, sf_dir), BOX)
@@ -128,10 +128,7 @@ def overlap_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids deleted when, of each close pair in order, the one of higher id goes."""
     from ..operators.pairs import resolve
 
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    T.shared(spark)
     return resolve(pairs.range_pairs(T.few_points(spark, sf_dir), CUTOFF, BOX), F.col("j"))
 
 
@@ -194,10 +191,13 @@ MIS = (
 DIS = f"WITH {QUATS}, {SYM}, {MIS}, dis AS (SELECT grain_i, grain_j, degrees(2*acos(least(1.0, max(abs(w*sw-x*sx-y*sy-z*sz))))) AS angle FROM m, sym GROUP BY 1, 2)"
 
 
-def _disorientations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, q = T.quats(spark, sf_dir), T.quats(spark, sf_dir)
-    both = p.select(F.col("grain").alias("grain_i"), F.col("q").alias("p")).join(q.select(F.col("grain").alias("grain_j"), "q"), F.expr("grain_i < grain_j"))
-    return both.select("grain_i", "grain_j", G.disorientation_angle(F.col("p"), F.col("q"), T.cubic_symmetry()).alias("angle"))
+def _disorientations(spark: SparkSession, sf_dir: str, edges: DataFrame | None = None) -> DataFrame:
+    """Angles of the pairs of `edges` (grain_i, grain_j, ...), or of all pairs."""
+    p = T.quats(spark, sf_dir).select(F.col("grain").alias("grain_i"), F.col("q").alias("p"))
+    q = T.quats(spark, sf_dir).select(F.col("grain").alias("grain_j"), "q")
+    both = p.join(q, F.expr("grain_i < grain_j")) if edges is None else edges.join(p, "grain_i").join(q, "grain_j")
+    kept = ["grain_i", "grain_j", *[c for c in (edges.columns if edges is not None else []) if c not in ("grain_i", "grain_j")]]
+    return both.select(*kept, G.disorientation_angle(F.col("p"), F.col("q"), T.cubic_symmetry()).alias("angle"))
 
 
 @query(f"{DIS} SELECT grain_i, grain_j, round(angle, 6) AS angle FROM dis")
@@ -251,10 +251,22 @@ def rotation_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.quats(spark, sf_dir).select("grain", *[F.round(c, 6).alias(n) for n, c in cols.items()])
 
 
-@query()
+_MILLER = (
+    f"{QUATS}, k AS (SELECT grain, x, y, z, s::INT AS s, round_even(x/m*s, 0)::INT AS a, round_even(y/m*s, 0)::INT AS b, round_even(z/m*s, 0)::INT AS c FROM"
+    " (SELECT *, greatest(abs(x), abs(y), abs(z)) AS m FROM quats), range(1, 13) r(s)),"
+    " g AS (SELECT *, gcd(gcd(a, b), c)::INT AS g FROM k), r AS (SELECT grain, s, a//g AS a, b//g AS b, c//g AS c, x, y, z FROM g),"
+    " dv AS (SELECT grain, s, a, b, c, greatest(abs(a), abs(b), abs(c)) AS most, degrees(acos(least(1.0, (a*x+b*y+c*z)/(sqrt((a*a+b*b+c*c)::DOUBLE)*sqrt(x*x+y*y+z*z))))) AS dev FROM r),"
+    " st AS (SELECT grain, s, a, b, c, most, dev FROM dv WHERE s = 1 UNION ALL"
+    " SELECT st.grain, dv.s, CASE WHEN w THEN dv.a ELSE st.a END, CASE WHEN w THEN dv.b ELSE st.b END, CASE WHEN w THEN dv.c ELSE st.c END, CASE WHEN w THEN dv.most ELSE st.most END, CASE WHEN w THEN dv.dev ELSE st.dev END"
+    " FROM st JOIN dv ON dv.grain=st.grain AND dv.s=st.s+1, LATERAL (SELECT dv.dev < st.dev-1e-8 OR (abs(dv.dev-st.dev) <= 1e-8 AND dv.most < st.most) AS w))"
+)
+
+
+@query(f"WITH RECURSIVE {_MILLER} SELECT grain, concat(a, ' ', b, ' ', c) AS hkl, round(dev, 5) AS deviation FROM st WHERE s = 12")
 def miller_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hkl = G.rationalize(F.col("q.x"), F.col("q.y"), F.col("q.z"))
-    return T.quats(spark, sf_dir).select("grain", F.array_join(hkl.cast("array<string>"), " ").alias("hkl"))
+    """Integer direction nearest to each orientation's axis, and the angle to it."""
+    found = T.quats(spark, sf_dir).select("grain", G.rationalize(F.col("q.x"), F.col("q.y"), F.col("q.z")).alias("r"))
+    return found.select("grain", F.array_join(F.col("r.hkl").cast("array<string>"), " ").alias("hkl"), F.round("r.deviation", 5).alias("deviation"))
 
 
 _VOL = f"WITH {VOXELS}, vol AS (SELECT grain, phase, count(v.i)*1.953125::DOUBLE AS volume FROM seeds LEFT JOIN voxels v USING (grain) GROUP BY 1, 2)"
@@ -311,7 +323,7 @@ def summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def boundary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area-weighted angle and low-angle share of the interfaces."""
-    both = grid.areas(_voxels(spark, sf_dir), GRID, 1.5625).join(_disorientations(spark, sf_dir), ["grain_i", "grain_j"])
+    both = _disorientations(spark, sf_dir, grid.areas(_voxels(spark, sf_dir), GRID, 1.5625))
     low = F.sum(F.when(F.col("angle") < 15, F.col("area")).otherwise(0.0)) / F.sum("area")
     return both.agg(F.round(stats.weighted_mean(F.col("angle"), F.col("area")), 6).alias("mean_angle"), F.round(low, 6).alias("low_fraction"), F.count("*").alias("n_boundaries"))
 

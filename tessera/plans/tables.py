@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,15 @@ from pyspark.sql import functions as F
 BOX = 20.0
 
 
+def shared(spark: SparkSession) -> None:
+    """The folder for checkpoints that the cluster names; a temporary one only where a local session names none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp())
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

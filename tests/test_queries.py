@@ -64,5 +64,7 @@ def test_wrap_and_image(spark):
 def test_miller_direction(spark):
     from pyspark.sql import functions as F
 
-    r = spark.createDataFrame([(1.0, 1.0, 0.0), (0.5, 0.5, 1.0), (0.0, 0.0, -3.0)], "x double, y double, z double")
-    assert [list(x[0]) for x in r.select(G.rationalize(F.col("x"), F.col("y"), F.col("z"))).collect()] == [[1, 1, 0], [1, 1, 2], [0, 0, -1]]
+    r = spark.createDataFrame([(1.0, 1.0, 0.0), (0.5, 0.5, 1.0), (0.0, 0.0, -3.0), (0.0, 0.0, 0.0)], "x double, y double, z double")
+    found = [x[0] for x in r.coalesce(1).select(G.rationalize(F.col("x"), F.col("y"), F.col("z"))).collect()]
+    assert [list(x.hkl) for x in found] == [[1, 1, 0], [1, 1, 2], [0, 0, -1], [0, 0, 0]]
+    assert all(x.deviation < 1e-5 for x in found[:3]) and found[3].deviation is None
