@@ -1,4 +1,4 @@
-"""Every query of the engine: importing this module fills the registry."""
+"""All queries of the engine and their SQL."""
 
-from . import crystals, orientations  # noqa: F401
+from . import crystals, orientations, polyhedra, textures  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

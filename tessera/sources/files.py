@@ -15,21 +15,28 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_atom_rows(spark: SparkSession, path: str, molecular: bool = True) -> DataFrame:
-    """(id, mol, type, x, y, z) of the rows of the atom section; `mol` is null in atomic files.
+    """(id, mol, type, x, y, z) of the rows of the atom section; `mol` is null in atomic files; image flags may follow.
 
-    A row of that section is told by its number of fields and their form, so files split over many tasks need no state:
-    header and mass lines have other forms. Other lines are left out.
+    Sections are told by the line before them: a file's lines are numbered by their places, and each row belongs to the last
+    heading before it, found from the few headings of the file.
     """
-    number = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
-    whole = r"\d+\s+" * (3 if molecular else 2)
-    rows = _lines(spark, path).select(F.regexp_replace("value", "#.*$", "").alias("v")).select(F.trim("v").alias("v"))
-    rows = rows.where(F.col("v").rlike(rf"^{whole}{number}\s+{number}\s+{number}$"))
+    lines = _lines(spark, path).select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("v"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"))
+    heads = lines.where(F.col("v").rlike(r"^[A-Z][A-Za-z]+(\s+[A-Za-z]+)*$")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("heads"))
+    rows = lines.where(F.col("v").rlike(r"^\d+\s")).join(F.broadcast(heads), "file")  # headings: a dozen a file
+    last = F.element_at(F.filter("heads", lambda h: h.n < F.col("n")), -1)
+    rows = rows.where(F.size(F.filter("heads", lambda h: h.n < F.col("n"))) > 0).where(last.v.startswith("Atoms"))
     f = F.split("v", r"\s+")
     at = 2 if molecular else 1
+    rows = rows.where(F.size(f) >= at + 4)
     mol = f[1].cast("long") if molecular else F.lit(None).cast("long")
     return rows.select(f[0].cast("long").alias("id"), mol.alias("mol"), f[at].cast("int").alias("type"), *[f[at + 1 + n].cast("double").alias(c) for n, c in enumerate("xyz")])
 
 
+def ends(rows: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The first and the last k rows in order of a key."""
+    return rows.orderBy(key).limit(k), rows.orderBy(F.desc(key)).limit(k).orderBy(key)
+
+
 def read_header(spark: SparkSession, path: str) -> DataFrame:
     """(key, a, b, c): counts, bounds, tilts and masses of the header, one row per line."""
     v = F.trim(F.regexp_replace("value", "#.*$", ""))
@@ -78,7 +85,20 @@ def dense(labels: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(sha256, size, path) of manifest lines."""
+    """(sha256, size, path) of manifest lines. Comments and blank lines are left out; any other line that is no entry, a path
+    that leaves the folder, or one listed twice raises an error."""
     p = r"^([0-9a-f]{64})\s+(\d+)\s+(.+)$"
-    rows = _lines(spark, path).where(F.col("value").rlike(p))
-    return rows.select(F.regexp_extract("value", p, 1).alias("sha256"), F.regexp_extract("value", p, 2).cast("long").alias("size"), F.regexp_extract("value", p, 3).alias("path"))
+    rows = _lines(spark, path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    ok = F.col("value").rlike(p)
+    name = F.regexp_extract("value", p, 3)
+    outside = name.startswith("/") | name.rlike(r"(^|/)\.\.(/|$)")
+    value = F.when(ok & ~outside, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a manifest entry: "), "value")))
+    found = rows.select(value.alias("value")).select(F.regexp_extract("value", p, 1).alias("sha256"), F.regexp_extract("value", p, 2).cast("long").alias("size"), name.alias("path"))
+    if twice := [r.path for r in found.groupBy("path").count().where("count > 1").limit(3).collect()]:
+        raise ValueError(f"listed twice: {', '.join(twice)}")
+    return found
+
+
+def versions_agree(stated: DataFrame) -> DataFrame:
+    """(passed, versions) of a table (file, version): all files state one version."""
+    return stated.agg((F.countDistinct("version") + F.count_if(F.col("version").isNull()) == 1).alias("passed"), F.array_sort(F.collect_set("version")).alias("versions"))

@@ -96,10 +96,31 @@ def _items(name: str, cell) -> Column:  # noqa: ANN001
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(sha256, size, path) of all data files under a folder, paths relative to it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = folder.rstrip("/").rsplit("/", 1)[-1]
-    return files.select(F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.substring_index(F.col("path"), f"/{name}/", -1).alias("path"))
+    """(sha256, size, path) of all data files under a folder, paths relative to it. Files are read in parts of 16 MB by the
+    task that has them, so their size does not matter; the folder is one that driver and executors share."""
+    import hashlib
+    import os
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    root = folder.removeprefix("file://").rstrip("/")
+    names = sorted(os.path.relpath(os.path.join(at, f), root) for at, _, files in os.walk(root) for f in files if not f.startswith((".", "_")))
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name in frame["path"]:
+                digest, size = hashlib.sha256(), 0
+                with open(os.path.join(root, name), "rb") as f:
+                    while part := f.read(1 << 24):
+                        digest.update(part)
+                        size += len(part)
+                rows.append((digest.hexdigest(), size, name))
+            yield pd.DataFrame(rows, columns=["sha256", "size", "path"])
+
+    paths = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, min(len(names), 200)))
+    return paths.mapInPandas(hashed, "sha256 string, size long, path string")
 
 
 def verify(listed: DataFrame, found: DataFrame) -> DataFrame:
