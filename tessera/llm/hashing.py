@@ -24,16 +24,18 @@ class _Powers:
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                power = np.full(size, base, dtype=np.uint64)
-                power[0] = 1
-                setattr(self, name, np.multiply.accumulate(power))
-        up, down = self.up[:n], self.down[:n]
         if n > _KEPT:
-            self.__init__()
-        return up, down
+            return _powers(_BASE, n), _powers(_INVERSE, n)
+        if len(self.up) < n:
+            size = min(_KEPT, 1 << (n - 1).bit_length())
+            self.up, self.down = _powers(_BASE, size), _powers(_INVERSE, size)
+        return self.up[:n], self.down[:n]
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
 
 
 #: Powers that are kept between batches.
