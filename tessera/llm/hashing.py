@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -80,7 +81,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - (at[0] if len(at) else 0)
 
 
+#: Bytes of text that are hashed together.
+TOGETHER = 1 << 20
+
+
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
+    """`_shingle_sets` of the rows, some `TOGETHER` bytes at a time, so that a batch's arrays stay small."""
+    column = pa.array(column)
+    size = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // TOGETHER
+    edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(size) else np.zeros(1, np.int64)
+    return [x for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) for x in _shingle_sets(column.slice(a, b - a), words)]
+
+
+def _shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's `words`-word shingles (A-Z lower-cased); of the whole sequence as one if
     there are fewer words; none without a word."""
     raw, offsets = utf8(column)
