@@ -22,9 +22,11 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         onward = hook.select(F.col("root").alias("new"), F.col("new").alias("further"))
         moved = parent.join(hook.join(onward, "new", "left"), "root", "left")
         found = moved.select("id", F.coalesce("further", "new", "root").alias("root"), F.col("new").isNotNull().alias("moved")).checkpoint()
-        parent = found.select("id", "root")
         if found.where("moved").isEmpty():
-            return parent.withColumnRenamed("root", "component")
+            return found.select("id", F.col("root").alias("component"))
+        # A root is a node too: its own root is nearer still, which doubles the steps along a chain.
+        up = found.select(F.col("id").alias("root"), F.col("root").alias("up"))
+        parent = found.join(up, "root").select("id", F.col("up").alias("root"))
     raise RuntimeError("components did not settle")
 
 

@@ -56,7 +56,7 @@ def brute(found):
 def test_losers_are_those_of_a_scan(spark):
     r = random.Random(5)
     pairs = sorted({tuple(sorted(r.sample(range(80), 2))) for _ in range(60)})
-    pairs = [(i, j, r.choice((i, j))) for i, j in pairs] + [(1000 + k, 1001 + k, 1001 + k) for k in range(20)]
+    pairs = [(i, j, r.choice((i, j))) for i, j in pairs] + [(1000 + k, 1001 + k, 1001 + k) for k in range(400)]
     got = {x.id for x in O.losers(spark.createDataFrame(pairs, "i long, j long, loser long").coalesce(1)).collect()}
     assert got == brute(pairs)
 
