@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
-from tessera.operators import crystal, doping, graph, kernel
+from tessera.operators import crystal, doping, graph, kernel, pairs
 from tessera.sources import files, sinks
 
 
@@ -227,3 +227,44 @@ def test_reports_flatten_and_json(spark, tmp_path):
     assert sinks.json_rows(df.select("a", "n")).first().value == '{"a":1,"n":null}'
     sinks.write_report(df.select("a", "n"), f"{tmp_path}/r", ["a"])
     assert spark.read.csv(f"{tmp_path}/r", header=True).first().n == "nan"
+
+
+def _lattice(n, box, seed):
+    random.seed(seed)
+    return [(i, *(random.random() * box for _ in range(3))) for i in range(n)]
+
+
+def _square(a, b, box):
+    return sum((d - box * round(d / box)) ** 2 for d in (x - y for x, y in zip(a[1:4], b[1:4], strict=True)))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+SCHEMA = "id long, x double, y double, z double"
+
+
+def test_triclinic_pairs_meet_without_a_join(spark):
+    h = crystal.reduce_tilts(crystal.cell_matrix(5.0, 6.0, 7.0, 70.0, 65.0, 60.0))
+    assert "Join" not in _plan(crystal.triclinic_pairs(spark.createDataFrame(_lattice(20, 5.0, 1), SCHEMA), 1.1, h))
+
+
+@pytest.mark.parametrize(("box", "cutoff"), [(4.0, 0.7), (4.0, 2.5), (4.0, 1.9), (12.0, 0.9)])
+def test_range_pairs_and_far_points_equal_all_pairs(spark, box, cutoff):
+    pts = [*_lattice(200, box, 7), (200, box, 0.0, -0.1), (201, 0.0, box, box)]
+    df = spark.createDataFrame(pts, SCHEMA)
+    want = {(a[0], b[0]) for a, b in itertools.combinations(pts, 2) if _square(a, b, box) <= cutoff * cutoff}
+    assert {(r.i, r.j) for r in pairs.range_pairs(df, cutoff, box).collect()} == want
+    odd, even = pts[1::2], pts[:40:2]
+    extra = spark.createDataFrame([(*p, str(p[0])) for p in [*odd, (999, None, None, None)]], SCHEMA + ", name string")
+    far = pairs.far_from(extra, spark.createDataFrame(even, SCHEMA), cutoff, box)
+    assert "Join" not in _plan(far) and far.columns == ["id", "x", "y", "z", "name"]
+    alone = {str(p[0]) for p in odd if all(_square(p, q, box) >= cutoff * cutoff for q in even)} | {"999"}
+    assert sorted(r.name for r in far.collect()) == sorted(alone)
+
+
+def test_interstitial_search_broadcasts_nothing(spark):
+    both = spark.createDataFrame(_lattice(60, 4.0, 3), SCHEMA)
+    plan = _plan(doping.interstitial(both.where("id % 2 = 1"), both.where("id % 2 = 0"), 0.7, 4.0))
+    assert "NestedLoop" not in plan and "BroadcastExchange" not in plan.split("LeftAnti")[0]
