@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import assign as A
+from . import pairs
 
 Matrix = tuple[tuple[float, float, float], ...]
 
@@ -76,14 +78,22 @@ def triclinic_pairs(points: DataFrame, cutoff: float, h: Matrix) -> DataFrame:
     rows = [(1 / ax, -bx / (ax * by), (bx * cy - cx * by) / (ax * by * cz)), (0, 1 / by, -cy / (by * cz)), (0, 0, 1 / cz)]
     n = [max(1, math.floor(1 / (cutoff * math.sqrt(sum(c * c for c in r))))) for r in rows]
     frac = [F.pmod(f, F.lit(1.0)) for f in _fractions(h, [F.col(c) for c in "xyz"])]
-    cell = [F.least(F.floor(f * k).cast("int"), F.lit(k - 1)).alias(f"c{c}") for f, k, c in zip(frac, n, "xyz", strict=True)]
-    right = points.select(F.col("id").alias("j"), *[F.col(c).alias(f"b{c}") for c in "xyz"], *cell)
-    left = points.select(F.col("id").alias("i"), *[F.col(c).alias(f"a{c}") for c in "xyz"], *cell)
-    for c, k in zip("xyz", n, strict=True):
-        left = left.withColumn(f"c{c}", F.explode(F.array_distinct(F.array(*[F.pmod(F.col(f"c{c}") + o, F.lit(k)) for o in (-1, 0, 1)]))))
-    near = left.join(right, ["cx", "cy", "cz"]).where("i < j")
-    d2 = square_distance(h, [F.col(f"a{c}") - F.col(f"b{c}") for c in "xyz"], cutoff)
-    return near.withColumn("d2", d2).where(F.col("d2") <= F.lit(cutoff * cutoff)).select("i", "j", "d2")
+    cell = [F.least(F.floor(f * k).cast("int"), F.lit(k - 1)) for f, k in zip(frac, n, strict=True)]
+    # Points of neighbouring cells differ by two cells at most, so with four cells along an axis only the nearest image counts.
+    steps = [s for s in images(h, cutoff) if not any(s[a] and n[a] >= 4 for a in range(3))]
+
+    def square(*d: np.ndarray) -> np.ndarray:
+        w = d[2] / cz
+        v = (d[1] - w * cy) / by
+        f = [x - np.rint(x) for x in ((d[0] - v * bx - w * cx) / ax, v, w)]
+        least = np.full(len(w), np.inf)
+        for s in steps:
+            p, q, r = (x + float(k) for x, k in zip(f, s, strict=True))
+            x, y, z = p * ax + q * bx + r * cx, q * by + r * cy, r * cz
+            least = np.minimum(least, x * x + y * y + z * z)
+        return least
+
+    return pairs.near_pairs(points, cell, tuple(n), square, cutoff)
 
 
 def fill(cells: DataFrame, quats: DataFrame, basis: list[tuple[float, float, float]], edge: float, box: float, reach: float) -> DataFrame:
