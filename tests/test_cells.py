@@ -159,3 +159,59 @@ def test_manifest_is_strict_and_sections_are_told_apart(spark, tmp_path):
     assert [r.id for r in first.collect()] == [0, 1] and [r.id for r in last.collect()] == [8, 9]
     v = spark.createDataFrame([("a", "1.0"), ("b", "1.0")], "file string, version string")
     assert files.versions_agree(v).first().passed and not files.versions_agree(v.union(spark.createDataFrame([("c", "2")], v.schema))).first().passed
+
+
+def _jobs(spark, run):
+    name = f"counted-{random.random()}"
+    spark.sparkContext.setJobGroup(name, "")
+    out = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+@pytest.mark.parametrize("turn", [100, 10**6])
+def test_a_dense_scan_takes_few_jobs(spark, monkeypatch, turn):
+    from tessera.operators import pairs as P
+
+    monkeypatch.setattr(P, "TURN", turn, raising=False)
+    r = random.Random(9)
+    found = [(i, j, r.choice((i, j))) for i in range(40) for j in range(i + 1, 40)]
+    df = spark.createDataFrame(found, "i long, j long, loser long").coalesce(1)
+    got, jobs = _jobs(spark, lambda: {x.id for x in P.resolve(df, F.col("loser")).collect()})
+    assert got == brute(found)
+    assert jobs < (100 if turn < len(found) else 20)  # rounds took hundreds
+
+
+def test_one_atom_among_many_is_scanned_at_once(spark):
+    from tessera.operators import pairs as P
+
+    df = spark.range(1, 1203).selectExpr("0L as i", "id as j")
+    assert P.resolve(df, F.col("j")).count() == 1202
+
+
+@pytest.mark.parametrize("policy", ["delete_shallower", "keep_lower_id"])
+def test_removal_of_a_crowd_equals_a_scan(spark, policy):
+    r = random.Random(4)
+    rows = [(k, r.random() * 3, r.random() * 3, r.random() * 3, r.randrange(3), r.randrange(4) / 4, "AB"[k % 2]) for k in range(150)]
+    at = {x[0]: x for x in rows}
+    found = []
+    for i in range(150):
+        for j in range(i + 1, 150):
+            d = [a - b for a, b in zip(at[i][1:4], at[j][1:4], strict=True)]
+            if sum((v - 3 * round(v / 3)) ** 2 for v in d) < 0.49:
+                (gi, mi), (gj, mj) = at[i][4:6], at[j][4:6]
+                later = i if gi > gj else j
+                found.append((i, j, later if policy == "keep_lower_id" or mi == mj else i if mi < mj else j))
+    atoms = spark.createDataFrame(rows, "id long, x double, y double, z double, grain int, margin double, species string")
+    (kept, gone), jobs = _jobs(spark, lambda: O.remove(atoms, 0.7, 3.0, policy))
+    assert {x.id for x in gone.collect()} == brute(found) and jobs < 20
+    assert O.left_over(kept, 0.7, 3.0) == 0
+    near = O.rule(O.close(atoms, 0.7, 3.0), policy)
+    assert sum(x.n for x in O.ledger(atoms, gone, near).where("kind = 'pair'").collect()) == len(brute(found))
+
+
+def test_merging_takes_as_many_passes_as_it_needs(spark):
+    # One atom of grain 0 meets all others, and merges with one of them a pass.
+    rows = [(k, 1.0, 1.0, 1.0, min(k, 1), 0.0, "A") for k in range(23)]
+    atoms = spark.createDataFrame(rows, "id long, x double, y double, z double, grain int, margin double, species string")
+    assert [tuple(x) for x in O.merge(atoms, 0.5, 4.0).collect()] == [rows[0]]
