@@ -173,6 +173,44 @@ def test_op2_long_lines_link_by_their_length(spark):
     assert got == dict(enumerate(components(n, near)))
 
 
+def _crowd(r, n):
+    """A line, copies of it that are near it and not near each other, and one that is near none."""
+    base = sentence(r, 60)
+    out = [base]
+    for k in range(n):
+        t = list(base)
+        for _ in range(len(base) // 26):
+            t[r.randrange(len(t))] = chr(0x4E00 + k)
+        out.append("".join(t))
+    return [*out, base[: len(base) // 2] + sentence(r, 30)]
+
+
+def test_op2_rows_of_a_large_group_grow_with_its_lines(spark):
+    r = random.Random(21)
+    lines = _crowd(r, 120)
+    near = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if line_dedup.links(lines[i], lines[j])]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    order = spark.sparkContext.broadcast(line_dedup.gram_order(df))
+    posted = line_dedup.long_postings(df, order, 6, 60, 1 << 31).repartition(4, "bucket").sortWithinPartitions("bucket")
+    maybe = line_dedup.long_links(posted, 6)
+    assert maybe.count() < 64 * len(lines)  # in each of 64 buckets, one from each line but one
+    got = line_dedup.joined(np.zeros(len(lines), dtype=np.int64), lines, np.array([9] + [1] * (len(lines) - 1)), order.value)
+    want = components(len(lines), near)
+    assert len(near) < 2 * len(lines) and len(got[0]) == len(lines) - len(set(want))
+    assert components(len(lines), list(zip(*(x.tolist() for x in got), strict=True))) == want
+
+
+def test_op2_groups_too_large_for_a_task(spark, monkeypatch):
+    r = random.Random(22)
+    lines = [s for _ in range(3) for s in _crowd(r, 8)] + [sentence(r, 7) for _ in range(6)]
+    lines += [s + "z" for s in lines[-6:]] + [s[:-2] for s in lines[-6:]]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    near = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if line_dedup.links(lines[i], lines[j])]
+    monkeypatch.setattr(line_dedup, "CROWD", 2)
+    got = {x.doc_id: x.first_doc for x in line_dedup.line_classes(df).collect()}
+    assert got == dict(enumerate(components(len(lines), near)))
+
+
 def test_op2_short_lines_by_equality(spark, tmp_path):
     texts = ["All rights reserved.\n\n \na", "All rights reserved.\nall rights reserved.", "b\n All rights reserved. \n\nb"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
