@@ -215,3 +215,23 @@ def test_merging_takes_as_many_passes_as_it_needs(spark):
     rows = [(k, 1.0, 1.0, 1.0, min(k, 1), 0.0, "A") for k in range(23)]
     atoms = spark.createDataFrame(rows, "id long, x double, y double, z double, grain int, margin double, species string")
     assert [tuple(x) for x in O.merge(atoms, 0.5, 4.0).collect()] == [rows[0]]
+
+
+def test_points_left_are_scanned_without_listing_pairs(spark, monkeypatch):
+    from tessera.operators import pairs as P
+
+    monkeypatch.setattr(P, "ASKING", 7)
+    r = random.Random(31)
+    rows = [(k * 3 - 50, r.random() * 3, r.random() * 3, r.random() * 3) for k in range(200)] + [(None, 1.0, 1.0, 1.0), (900, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double").repartition(3)
+    listed = [0]
+
+    def pairs():
+        listed[0] += 1
+        return P.range_pairs(df, 0.7, 3.0).withColumn("loser", F.col("j"))
+
+    run = lambda: {x.id for x in P.losers_of(df, 0.7, 3.0, False, (), lambda k, others, ranks: np.zeros(len(others), dtype=bool), pairs).collect()}
+    got = run()
+    assert not listed[0] and got == brute([(x.i, x.j, x.loser) for x in pairs().collect()])
+    monkeypatch.setattr(P, "POINTS", 10)
+    assert run() == got and listed[0] == 2
