@@ -211,6 +211,24 @@ def test_op2_groups_too_large_for_a_task(spark, monkeypatch):
     assert got == dict(enumerate(components(len(lines), near)))
 
 
+def test_op2_lines_joined_by_chance_are_parted(spark, monkeypatch):
+    r = random.Random(23)
+    lines = [sentence(r, 150) for _ in range(20)]
+    lines += [s[:40] + "#" + s[41:] for s in lines]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    near = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if line_dedup.links(lines[i], lines[j])]
+    order = spark.sparkContext.broadcast(line_dedup.gram_order(df))
+    keys = line_dedup.Lines(lines).keys().tolist()
+    one = spark.createDataFrame([(k, min(keys)) for k in keys], "node long, component long")
+    most, real = [], line_dedup.joined_groups
+    monkeypatch.setattr(line_dedup, "WIDE", 4, raising=False)
+    monkeypatch.setattr(line_dedup, "joined_groups", lambda rows, order: most.append(rows.groupBy("group").count().agg({"count": "max"}).first()[0]) or real(rows, order))
+    links, whole = line_dedup.near_links(df, 24, one, order)
+    at = {k: n for n, k in enumerate(keys)}
+    assert whole and most == [2]  # 40 lines met in one task before
+    assert components(len(lines), [(at[x.u], at[x.v]) for x in links.df.collect()]) == components(len(lines), near)
+
+
 def test_op2_short_lines_by_equality(spark, tmp_path):
     texts = ["All rights reserved.\n\n \na", "All rights reserved.\nall rights reserved.", "b\n All rights reserved. \n\nb"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
