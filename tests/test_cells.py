@@ -235,3 +235,22 @@ def test_points_left_are_scanned_without_listing_pairs(spark, monkeypatch):
     assert not listed[0] and got == brute([(x.i, x.j, x.loser) for x in pairs().collect()])
     monkeypatch.setattr(P, "POINTS", 10)
     assert run() == got and listed[0] == 2
+
+
+@pytest.mark.parametrize("policy", ["keep_lower_id", "delete_shallower"])
+def test_ledger_lists_no_pairs(spark, monkeypatch, policy):
+    from tessera.operators import pairs as P
+
+    r = random.Random(8)
+    nan = float("nan")
+    rows = [(k * 7 % 601, r.random() * 3, r.random() * 3, r.random() * 3, r.choice((0, 1, 2, None)), r.choice((0.1, 0.2, r.random(), nan, None)), r.choice("AB")) for k in range(300)]
+    rows += [(None, 1.0, 1.0, 1.0, 0, 0.0, "A"), (900, None, 1.0, 1.0, 0, 0.0, "A"), (901, nan, 1.0, 1.0, 0, 0.0, "A")]
+    for some in (rows, rows + rows[:3]):  # ids that repeat have their pairs listed
+        atoms = spark.createDataFrame(some, "id long, x double, y double, z double, grain int, margin double, species string")
+        near = O.rule(O.close(atoms, 0.5, 3.0), policy).checkpoint()
+        want = sorted(map(str, O.ledger(atoms, O.losers(near), near).collect()))
+        with monkeypatch.context() as m:
+            if some is rows:
+                m.setattr(P, "scan", None)
+                m.setattr(P, "ASKING", 50)
+            assert sorted(map(str, O.removal_ledger(atoms, 0.5, 3.0, policy).collect())) == want and len(want) > 3
