@@ -254,3 +254,18 @@ def test_ledger_lists_no_pairs(spark, monkeypatch, policy):
                 m.setattr(P, "scan", None)
                 m.setattr(P, "ASKING", 50)
             assert sorted(map(str, O.removal_ledger(atoms, 0.5, 3.0, policy).collect())) == want and len(want) > 3
+
+
+def test_merging_ends_in_one_task(spark, monkeypatch):
+    from tessera.operators import pairs as P
+
+    monkeypatch.setattr(P, "LOOSE", 9)
+    r = random.Random(12)
+    rows = [(k * 7 % 601, r.random() * 3 - 1, r.random() * 3, r.random() * 3, r.choice((0, 1, 2, None)), 0.0, "A") for k in range(300)] + [(None, 1.0, 1.0, 1.0, 0, 0.0, "A"), (900, None, 1.0, 1.0, 0, 0.0, "A")]
+    atoms = spark.createDataFrame(rows, "id long, x double, y double, z double, grain int, margin double, species string")
+    now, passes = P.written(atoms), 0
+    while not (taken := O.merging(now, 0.4, 3.0)).isEmpty():
+        now, passes = P.written(O.merge_once(now, 0.4, 3.0, taken)), passes + 1
+    got, jobs = _jobs(spark, lambda: sorted(map(str, O.merge(atoms, 0.4, 3.0).collect())))
+    assert got == sorted(map(str, now.collect())) and passes > 3
+    assert jobs < 40 and len(O.merge(spark.createDataFrame(rows + rows[:1], atoms.schema), 0.4, 3.0).columns) == 7
