@@ -229,6 +229,34 @@ def test_op2_lines_joined_by_chance_are_parted(spark, monkeypatch):
     assert components(len(lines), [(at[x.u], at[x.v]) for x in links.df.collect()]) == components(len(lines), near)
 
 
+def test_op2_long_lines_that_share_phrases_do_not_link(spark):
+    r = random.Random(24)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 7))) for _ in range(40)]
+    lines = [" ".join(r.choice(words) for _ in range(200))[:800] + "." for _ in range(40)]
+    lines += [s[:40] + "#" + s[41:300] + "#" + s[301:] for s in lines[:5]]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    order = spark.sparkContext.broadcast(line_dedup.gram_order(df))
+    posted = line_dedup.long_postings(df, order, 4, 60, 1 << 31).repartition(4, "bucket").sortWithinPartitions("bucket")
+    at = {k: n for n, k in enumerate(line_dedup.Lines(lines).keys().tolist())}
+    links = [(at[x.u], at[x.v]) for x in line_dedup.long_links(posted, 4).collect()]
+    near = [(k, 40 + k) for k in range(5)]
+    assert min(map(len, lines)) > 500 and all(line_dedup.links(lines[i], lines[j]) for i, j in near)
+    assert components(len(lines), links) == components(len(lines), near)
+
+
+def test_op2_small_tables_have_few_packed_rows(spark, monkeypatch):
+    r = random.Random(25)
+    df = spark.createDataFrame([(k, sentence(r, 40)) for k in range(60)], "doc_id long, text string").repartition(6)
+    rows, real = [], line_dedup.long_postings
+    monkeypatch.setattr(line_dedup, "long_postings", lambda *a: rows.append(real(*a).count()) or real(*a))
+    spark.conf.set("spark.sql.shuffle.partitions", 64)  # more than six tasks of ten lines need
+    try:
+        assert line_dedup.line_classes(df).count() == 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert 0 < sum(rows) <= 6 * 16 * line_dedup.PASSES
+
+
 def test_op2_short_lines_by_equality(spark, tmp_path):
     texts = ["All rights reserved.\n\n \na", "All rights reserved.\nall rights reserved.", "b\n All rights reserved. \n\nb"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
