@@ -211,6 +211,35 @@ def test_op2_groups_too_large_for_a_task(spark, monkeypatch):
     assert got == dict(enumerate(components(len(lines), near)))
 
 
+def test_op2_lists_of_near_lines_do_not_hold_their_pairs():
+    import tracemalloc
+
+    n = 3000  # one list, all of it near: 4498500 pairs
+    key = np.arange(n, dtype=np.int64) * 7
+    cols = [np.zeros(n, dtype=np.int64), np.full(n, 100), np.full(n, 5), key, np.zeros((n, 4), dtype=np.uint64)]
+    cols[4][-1] = 2**64 - 1 - np.uint64(2**63)  # but for one, which is far
+    tracemalloc.start()
+    u, v = line_dedup.bucket_links(cols, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert u.tolist() == [0] * (n - 2) and v.tolist() == key[1:-1].tolist()
+    assert peak < 60e6  # 16 bytes for each pair are 72 MB
+
+
+def test_op2_groups_are_joined_in_turns(spark, monkeypatch):
+    rnd = random.Random(8)
+    line = lambda n: "".join(rnd.choice("abcdefghij klmnop") for _ in range(n)).replace("  ", " x").strip()
+    base = [line(rnd.choice([40, 90, 300])) for _ in range(30)]
+    lines = base + [b[:k] + "#" + b[k + 1 :] for b in base for k in (3, 17)]
+    order = line_dedup.gram_order(spark.createDataFrame([("\n".join(lines),)], "text string"))
+    join = lambda: [c.tolist() for c in line_dedup.joined(np.zeros(len(lines), dtype=np.int64), lines, np.ones(len(lines), dtype=np.int64), order)]
+    want, most, real = join(), [], line_dedup._entries
+    monkeypatch.setattr(line_dedup, "TURN", 1000)
+    monkeypatch.setattr(line_dedup, "_entries", lambda *a: (out := real(*a), most.append(len(out[0])))[0])
+    assert join() == want and len(want[0]) == 60
+    assert len(most) > 5 and max(most) < sum(most) / 3  # segments are held in parts
+
+
 def test_op2_lines_joined_by_chance_are_parted(spark, monkeypatch):
     r = random.Random(23)
     lines = [sentence(r, 150) for _ in range(20)]
